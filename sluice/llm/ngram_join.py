@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join: a size-aware heavy-light join, and its components.
 
 Two sets link when 100 * |A & B| >= percent * |A | B|.  All sets are put into
-one order of shingles: rare ones by hash, then those that many documents share
-(found by one pass over all blocks: a shingle that a share f of all documents
-hold is held by a share f of some block) by rising count.  The order decides
-the cost only; any order gives the same links.
+one order of shingles, rare ones first: by how frequent their words are, and
+last those that many documents share, by rising count.  (Both come from one
+pass over all blocks of documents: what has a share f of the whole has a share
+f of some block.)  The order decides the cost only; any order gives the same
+links.
 
 * Light (small) sets enumerate fixed-size subsets: two linked sets share at
   least two of their first n - ceil(t n) + 2 shingles, so each pair of these is
@@ -37,13 +38,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitmap import bitmap, sift
 from .common import written
-from .shingles import U, mix, shingle_sets
+from .shingles import U, chunk_sets, chunks, mix, short_shingle, shingle_sets
 
 #: A shingle counts as common from this share of the documents; at most (mean set size) / SHARE shingles can.
 SHARE = 1 / 2048
+#: A word counts as frequent from this share of all words; at most 1 / WORD_SHARE words can.
+WORD_SHARE = 1 / 8192
 #: Shingles of a block in which common ones are counted.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Pivots a key, by round.
 PIVOTS = (4, 12)
 #: 64-bit words of the parity sketch.
@@ -66,36 +70,78 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
     return batch["text"].fill_null("")
 
 
+SKETCHES = [f"k{i}" for i in range(SKETCH)]
+PROFILE = "kind int, id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in SKETCHES) + ", wide binary"
+#: Wanted documents up to which their ids are broadcast (16 MB); more pass a bitmap.
+BROADCAST_IDS = 500_000
+
+
+def _sketch(s: np.ndarray, places: int) -> np.ndarray:
+    """Whether an odd number of the set's hashes falls on each place: a bit each."""
+    at = ((s >> U(20)) & U(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8))
+
+
+def _wide(s: np.ndarray) -> bytes:
+    """A sketch of about as many places as the set has members."""
+    return _sketch(s, 1 << max(6, len(s).bit_length())).tobytes()
+
+
+def _apart(a: bytes, b: bytes) -> int:
+    """At most the number of hashes that are in one set only; a sketch of more places is folded first."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _profile(batches, k: int, share: float):
-    """Rows of three kinds: 0 (id, n, two digests of the set), 1 (a common shingle, sid, and its count, n, in a
-    block) and 2 (a block's documents, id, its shingles, n, and how many others of the block equal an uncommon one, sid)."""
-    block, held, docs = [], 0, 0
+    """Rows of five kinds.
+
+    0: a document's id, set size n, two digests of the set, parity sketches.
+    1: a shingle (sid) common in a block, and its count n.  3: a word (sid)
+    frequent in a block, and its count n.  2: a block's documents (id),
+    shingles (n), and how many others of the block equal an uncommon one (sid).
+    4: a block's words (n).
+    """
+    width = 4 + SKETCH
+    block, words, held, docs = [], [], 0, 0
+
+    def rows(kind, *cols, wide=None):
+        cols = [pa.array(c, pa.int64()) for c in cols]
+        m = len(cols[0])
+        cols += [pa.nulls(m, pa.int64())] * (width - len(cols)) + [pa.array(wide, pa.binary()) if wide else pa.nulls(m, pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *cols], ["kind", "id", "n", "sid", "sid2", *SKETCHES, "wide"])
 
     def common():
-        nonlocal block, held, docs
+        nonlocal block, words, held, docs
         if block:
             x, c = np.unique(np.concatenate(block), return_counts=True)
             big = c >= max(3, math.ceil(share * docs))
-            pairs, total, m = int((c[~big] * (c[~big] - 1)).sum()), held, int(big.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((2, docs, total, pairs, None), (pa.int32(), *[pa.int64()] * 4))], ["kind", "id", "n", "sid", "sid2"])
-            block, held, docs = [], 0, 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.int64()), pa.array(c[big].astype(np.int64)), pa.array(_signed(x[big])), pa.nulls(m, pa.int64())],
-                ["kind", "id", "n", "sid", "sid2"],
-            )
+            yield rows(2, [docs], [held], [int((c[~big] * (c[~big] - 1)).sum())])
+            yield rows(1, np.zeros(big.sum(), np.int64), c[big].astype(np.int64), _signed(x[big]))
+        if words:
+            w = np.concatenate(words)
+            x, c = np.unique(w, return_counts=True)
+            big = c >= max(2, len(w) * WORD_SHARE / 2)
+            yield rows(3, np.zeros(big.sum(), np.int64), c[big].astype(np.int64), _signed(x[big]))
+            yield rows(4, [0], [len(w)])
+        block, words, held, docs = [], [], 0, 0
 
     for b in batches:
-        n, one, two = [], [], []
-        for s in shingle_sets(_texts(b), k):
-            n.append(len(s)), one.append(digest(s, 0)), two.append(digest(s, 2))
-            block.append(s)
-            held, docs = held + len(s), docs + 1
+        n, one, two, sketches, wide = [], [], [], [], []
+        for h, begin, s in chunks(_texts(b), k):
+            words.append(h)
+            for x in chunk_sets(h, begin, s, k):
+                n.append(len(x)), one.append(digest(x, 0)), two.append(digest(x, 2)), sketches.append(_sketch(x, 64 * SKETCH).view(np.int64)), wide.append(_wide(x))
+                block.append(x)
+                held, docs = held + len(x), docs + 1
             if held >= BLOCK:
                 yield from common()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(n), np.int32)), b["id"], pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-            ["kind", "id", "n", "sid", "sid2"],
-        )
+        ids = b["id"].to_numpy(zero_copy_only=False)
+        yield rows(0, ids, n, one, two, *(np.array(sketches, np.int64).reshape(len(n), SKETCH).T.copy()), wide=wide)
     yield from common()
 
 
@@ -143,47 +189,71 @@ def keys_of(s: np.ndarray, w: np.ndarray, percent: int, limit: int) -> np.ndarra
     return np.concatenate(out) if out else np.zeros(0, U)
 
 
-def _postings(batches, k: int, percent: int, limit: int, common):
-    known, count = common.value
+def _postings(batches, k: int, percent: int, limit: int, tables):
+    (known, count), (frequent, weight) = tables.value
+
+    def look(x, names, values):
+        if not len(names):
+            return np.zeros(len(x), values.dtype)
+        at = np.searchsorted(names, x)
+        at[at == len(names)] = 0
+        return np.where(names[at] == x, values[at], 0)
+
+    def posted():
+        return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(owner))], ["key", "sid"])
+
     for b in batches:
-        keys, owner, seen = [], [], set()
-        rows = 0
-        for s in shingle_sets(_texts(b), k):
-            if not len(s) or (sid := digest(s, 0)) in seen:
-                continue
-            seen.add(sid)
-            at = np.searchsorted(known, s)
-            at[at == len(known)] = 0
-            w = np.where(known[at] == s, count[at], 0) if len(known) else np.zeros(len(s), np.int64)
-            x = keys_of(s, w, percent, limit)
-            keys.append(x), owner.append(np.full(len(x), sid, np.int64))
-            rows += len(x)
-            if rows >= 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(owner))], ["key", "sid"])
-                keys, owner, rows = [], [], 0
+        keys, owner, seen, rows = [], [], set(), 0
+        for h, begin, s in chunks(_texts(b), k):
+            total = np.concatenate([[0], np.cumsum(look(h, frequent, weight))])
+            score = np.minimum(total[k : k + len(s)] - total[: len(s)], 255).astype(U)
+            ranked = (score << U(56)) | (s >> U(8))  # a shingle's name and its place in the order
+            held = look(s, known, count)
+            for i, j in zip(begin[:-1], begin[1:]):
+                if j == i:
+                    continue
+                if j - i >= k:
+                    x, first = np.unique(ranked[i : j - k + 1], return_index=True)
+                    w, one = held[i : j - k + 1][first], digest(np.unique(s[i : j - k + 1]), 0)
+                else:
+                    x = short_shingle(h[i:j])
+                    w, one = np.zeros(1, np.int64), digest(x, 0)
+                if one in seen:
+                    continue
+                seen.add(one)
+                x = keys_of(x, w, percent, limit)
+                keys.append(x), owner.append(np.full(len(x), one, np.int64))
+                rows += len(x)
+                if rows >= 200_000:
+                    yield posted()
+                    keys, owner, rows = [], [], 0
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(owner))], ["key", "sid"])
+            yield posted()
 
 
 def _whole_sets(batches, k: int):
     for b in batches:
-        sets, sketches = [], []
-        for s in shingle_sets(_texts(b), k):
-            place = (s >> U(20)) % U(64 * SKETCH)
-            odd = np.bincount(place.astype(np.int64), minlength=64 * SKETCH) & 1
-            sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            sets.append(_signed(s))
-        yield pa.RecordBatch.from_arrays(
-            [b["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-            ["rep", "n", "sketch", "items"],
-        )
+        for i in range(0, b.num_rows, 500):
+            part = b.slice(i, 500)
+            sets = [_signed(s) for s in shingle_sets(_texts(part), k)]
+            yield pa.RecordBatch.from_arrays(
+                [part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "items"]
+            )
+
+
+def _near(batches, percent: int):
+    """The pairs that the wide sketches leave open."""
+    for b in batches:
+        na, nb = b["a_n"].to_numpy(), b["b_n"].to_numpy()
+        apart = np.fromiter((_apart(x.as_py(), y.as_py()) for x, y in zip(b["a_wide"], b["b_wide"])), np.int64, b.num_rows)
+        ok = (100 + percent) * apart <= (100 - percent) * (na + nb)
+        yield b.select(["a", "b"]).filter(pa.array(ok))
 
 
 def _open(a: str, b: str, percent: int) -> Column:
     """False only where sizes or sketches prove that a and b don't link."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    word = lambda i: F.bit_count(F.get(f"{a}sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}sketch", F.lit(i))))
-    apart = sum((word(i) for i in range(1, SKETCH)), word(0))
+    apart = sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in SKETCHES), F.lit(0))
     # |A ^ B| = |A| + |B| - 2 |A & B|, and (100 + t) |A & B| >= t (|A| + |B|) where they link
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
@@ -217,19 +287,28 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         )
 
 
-def _verified(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets link."""
-    info = sets.select("rep", "n", "sketch")
+def _verified(spark: SparkSession, pairs: DataFrame, info: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets link.  Only sets in a pair that the sketches leave open are made."""
     side = lambda t, name: t.select(*[F.col(c).alias(f"{name}_{c}") for c in t.columns])
-    some = pairs.join(side(info, "a"), F.col("a") == F.col("a_rep")).join(side(info, "b"), F.col("b") == F.col("b_rep"))
-    some = written(spark, some.filter(_open("a_", "b_", percent)).select("a", "b"), "pairs")
-    items = sets.select("rep", "n", "items")
-    full = some.join(side(items, "a"), F.col("a") == F.col("a_rep")).join(side(items, "b"), F.col("b") == F.col("b_rep"))
+    sketch = info.select("rep", "n", "wide", *SKETCHES)
+    some = pairs.join(side(sketch, "a"), F.col("a") == F.col("a_rep")).join(side(sketch, "b"), F.col("b") == F.col("b_rep"))
+    some = some.filter(_open("a_", "b_", percent)).select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+    some = written(spark, some.mapInArrow(partial(_near, percent=percent), "a long, b long"), "pairs")
+    if some.isEmpty():
+        return some
+    ends = some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id"))).distinct()
+    ends = written(spark, ends, "wanted")
+    if ends.count() <= BROADCAST_IDS:
+        whole = docs.join(F.broadcast(ends), "id", "left_semi")
+    else:
+        whole = sift(docs, "id", bitmap(spark, ends, "id"))
+    sets = written(spark, whole.mapInArrow(partial(_whole_sets, k=k), "rep long, n long, items array<long>"), "sets")
+    full = some.join(side(sets, "a"), F.col("a") == F.col("a_rep")).join(side(sets, "b"), F.col("b") == F.col("b_rep"))
     full = full.withColumn("i", F.size(F.array_intersect("a_items", "b_items")))
     return full.filter(100 * F.col("i") >= percent * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b")
 
 
-def _link(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _link(spark: SparkSession, members: DataFrame, info: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(v, label) for every class in members (key, rep, n)."""
     labels = written(spark, members.select(F.col("rep").alias("v"), F.col("rep").alias("label")).distinct(), "labels")
 
@@ -239,7 +318,7 @@ def _link(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
         return written(spark, members.join(labels, F.col("rep") == F.col("v")).select("key", "rep", "n", "label"), "members")
 
     def merged(pairs: DataFrame) -> DataFrame:
-        edges = _verified(spark, pairs, sets, percent)
+        edges = _verified(spark, pairs, info, docs, k, percent)
         edges = edges.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
         up = components(spark, edges).toDF("w", "up")
         return written(spark, labels.join(up, F.col("label") == F.col("w"), "left").select("v", F.coalesce("up", "label").alias("label")), "labels")
@@ -258,8 +337,8 @@ def _link(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
     # What is left: pairs of different components, one of them not the key's largest.
     m = labelled(False)
     sizes = m.groupBy("key", "label").agg(F.count("*").alias("c"))
-    top = written(spark, sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("key", "top"), "tops")
-    held = written(spark, m.join(top, "key").join(sets.select(F.col("rep").alias("r"), "sketch").dropDuplicates(["r"]), F.col("rep") == F.col("r")).drop("r"), "open")
+    top = written(spark, sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count("*").alias("c")).filter("c > 1").select("key", "top"), "tops")
+    held = written(spark, m.join(top, "key").join(info.select(F.col("rep").alias("r"), *SKETCHES), F.col("rep") == F.col("r")).drop("r"), "open")
     x, out = held.alias("x"), held.filter("label != top").alias("u")
     rest = x.join(out, F.col("x.key") == F.col("u.key")).filter(
         (F.col("x.label") != F.col("u.label")) & ((F.col("x.label") == F.col("x.top")) | (F.col("x.rep") < F.col("u.rep"))) & _open("x.", "u.", percent)
@@ -270,32 +349,41 @@ def _link(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int
 def ngram_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links lead to, itself included)."""
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("id"), F.col(text_col).alias("text"))
-    both = written(spark, d.mapInArrow(partial(_profile, k=k, share=SHARE), "kind int, id long, n long, sid long, sid2 long"), "profile")
+    both = written(spark, d.mapInArrow(partial(_profile, k=k, share=SHARE), PROFILE), "profile")
     rows = both.filter("kind = 0").drop("kind")
     sizes = {r["n"]: r["c"] for r in rows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # one row a set size
     n_docs, places = sum(sizes.values()), sum(n * c for n, c in sizes.items())
-    # A held-by-share shingle has places / (share * n_docs) companions at most: that bounds what is broadcast.
+
+    def heavy(kind: int, least: int, most: float):
+        found = both.filter(F.col("kind") == kind).groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()
+        if len(found) > most:  # what is sent to every executor is bounded by these counts
+            raise ValueError("more heavy hitters than there can be")
+        found = sorted((r["sid"] % (1 << 64), r["n"]) for r in found)
+        return np.array([x for x, _ in found], U), np.array([c for _, c in found], np.int64)
+
     floor = max(3, math.floor(SHARE * n_docs))
-    found = both.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") >= floor)
-    common = sorted((r["sid"] % (1 << 64), r["n"]) for r in found.collect())
-    if len(common) > places / floor + 1:
-        raise ValueError("more common shingles than there can be")
+    common = heavy(1, floor, places / floor + 1)
+    n_words = both.filter("kind = 4").agg(F.sum("n")).first()[0] or 0
+    names, counts = heavy(3, max(2, math.floor(WORD_SHARE * n_words)), 1 / WORD_SHARE + 1 if n_words > 1 / WORD_SHARE else n_words + 1)
+    weight = (2 * np.log2(np.maximum(1, counts / max(1.0, WORD_SHARE * n_words)))).astype(np.int64) + 1
     met = both.filter("kind = 2").agg(F.sum(F.col("sid") * F.lit(n_docs) / F.col("id")).alias("m"), F.sum("n").alias("n")).first()
     limit = boundary(sizes, (met["m"] or 0) / max(1, met["n"] or 0), percent)
-    sent = spark.sparkContext.broadcast((np.array([c[0] for c in common], U), np.array([c[1] for c in common], np.int64)))
-
-    classes = written(spark, rows.filter("n > 0").groupBy("sid", "sid2", "n").agg(F.min("id").alias("rep")), "classes")
-    posted = written(spark, d.mapInArrow(partial(_postings, k=k, percent=percent, limit=limit, common=sent), "key long, sid long"), "postings")
-    shared = written(spark, posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key"), "keys")
-    places_of = written(spark, posted.join(shared.hint("shuffle_hash"), "key"), "places")
-    reps = written(spark, places_of.select("sid").distinct().join(classes, "sid").select("sid", "rep"), "reps")
-    whole = d.join(reps.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")
-    sets = written(spark, whole.mapInArrow(partial(_whole_sets, k=k), "rep long, n long, sketch array<long>, items array<long>"), "sets")
-    members = written(spark, places_of.distinct().join(reps, "sid").join(sets.select("rep", "n").distinct(), "rep").select("key", "rep", "n"), "members")
-    labels = _link(spark, members, sets, percent)
+    sent = spark.sparkContext.broadcast((common, (names, weight)))
+
+    classes = rows.filter("n > 0").groupBy("sid", "sid2", "n").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in SKETCHES])
+    classes = written(spark, classes, "classes")
+    posted = written(spark, d.mapInArrow(partial(_postings, k=k, percent=percent, limit=limit, tables=sent), "key long, sid long"), "postings")
+    shared = posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key")
+    places_of = sift(posted, "key", bitmap(spark, written(spark, shared, "keys"), "key"))
+    places_of = written(spark, places_of.distinct(), "places")
+    wide = rows.select(F.col("id").alias("rep"), "sid", "sid2", "wide")
+    info = places_of.select("sid").distinct().join(classes, "sid").join(wide, ["rep", "sid", "sid2"])
+    info = written(spark, info, "info")
+    members = written(spark, places_of.join(info.select("sid", "rep", "n").distinct(), "sid").select("key", "rep", "n"), "members")
+    labels = _link(spark, members, info, d, k, percent)
 
     ends = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("sid", "sid2", "n", F.coalesce("label", "rep").alias("top"))
     ends = written(spark, ends, "ends")
-    out = rows.join(ends, ["sid", "sid2", "n"], "left").select("id", "n", F.coalesce("top", "id").alias("top"))
+    out = rows.select("id", "n", "sid", "sid2").join(ends, ["sid", "sid2", "n"], "left").select("id", "n", F.coalesce("top", "id").alias("top"))
     back = lambda c: F.nullif(F.col(c), F.lit(LOW))
     return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("top").alias("component_id"))

@@ -22,7 +22,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Texts are taken in chunks of about so many bytes.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,27 +77,37 @@ def word_hashes(data: np.ndarray, off: np.ndarray):
     return span_hashes(_LOWER[data[solid]], ends - starts), owner
 
 
-def shingle_sets(texts: pa.Array, k: int):
-    """The sorted distinct hashes of each text's k-word shingles, text by text.
-
-    With fewer than k words the whole sequence is the one shingle; without
-    words the set is empty.
-    """
+def chunks(texts: pa.Array, k: int):
+    """(word hashes, where each text's words begin, hashes of the k words from each word on), chunk by chunk."""
     for i, j, data, off in buffers(texts):
         h, owner = word_hashes(data, off)
-        counts = np.bincount(owner, minlength=j - i)
-        begin = np.concatenate([[0], np.cumsum(counts)])
+        begin = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=j - i))])
         full = max(0, len(h) - k + 1)
         s = np.zeros(full, U)
         for d in range(k):
             s += (h[d : d + full] ^ _WORD[63]) * _WORD[d]
-        s = mix(s + U(k))
-        for t in range(j - i):
-            a, b = begin[t], begin[t + 1]
-            if b - a >= k:
-                yield np.unique(s[a : b - k + 1])
-            elif b > a:
-                x = ((h[a:b] ^ _WORD[63]) * _WORD[: b - a]).sum(dtype=U)
-                yield mix(np.array([x + U(b - a)], dtype=U))
-            else:
-                yield np.zeros(0, U)
+        yield h, begin, mix(s + U(k))
+
+
+def short_shingle(h: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of fewer words than a shingle has."""
+    x = ((h ^ _WORD[63]) * _WORD[: len(h)]).sum(dtype=U)
+    return mix(np.array([x + U(len(h))], dtype=U))
+
+
+def chunk_sets(h, begin, s, k: int):
+    for a, b in zip(begin[:-1], begin[1:]):
+        if b - a >= k:
+            yield np.unique(s[a : b - k + 1])
+        else:
+            yield short_shingle(h[a:b]) if b > a else np.zeros(0, U)
+
+
+def shingle_sets(texts: pa.Array, k: int):
+    """The sorted distinct hashes of each text's k-word shingles, text by text.
+
+    With fewer than k words the whole sequence is the one shingle; without
+    words the set is empty.
+    """
+    for h, begin, s in chunks(texts, k):
+        yield from chunk_sets(h, begin, s, k)
