@@ -301,6 +301,16 @@ class Coder:
                 first = False
         return n, ids.hexdigest(), back.hexdigest()
 
+    def exact(self, text: str) -> bool:
+        """Whether the decoded ids are the text."""
+        at = 0
+        for some in self.parts(text):
+            back = "".join([x[2] for x in some])
+            if not text.startswith(back, at):
+                return False
+            at += len(back)
+        return at == len(text)
+
     def ids(self, text: str) -> np.ndarray:
         return np.fromiter((i for some in self.parts(text) for x in some for i in x[1]), np.int32)
 
@@ -329,10 +339,11 @@ def _ids(batches, sent):
     for b in batches:
         for i in range(0, b.num_rows, 256):
             part = b.slice(i, 256)
-            made = [c.ids(t) for t in part["t"].to_pylist()]
+            texts = part["t"].to_pylist()
+            made, exact = [c.ids(t) for t in texts], [c.exact(t) for t in texts]
             off = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
             flat = np.concatenate(made) if made else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(off, flat)], [*part.schema.names[:-1], "token_ids"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(exact, pa.bool_()), pa.ListArray.from_arrays(off, flat)], [*part.schema.names[:-1], "round_trip", "token_ids"])
 
 
 def _decoded(batches, sent):
@@ -359,9 +370,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and token_ids."""
+    """The columns ``keep``, round_trip (whether the ids decode to the text) and token_ids."""
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    schema = ", ".join(f"`{c}` {_type(rows, c)}" for c in keep) + ", token_ids array<int>"
+    schema = ", ".join(f"`{c}` {_type(rows, c)}" for c in keep) + ", round_trip boolean, token_ids array<int>"
     return rows.mapInArrow(partial(_ids, sent=_sent(docs, path, pattern)), schema)
 
 

@@ -59,3 +59,15 @@ def words(text: Column) -> Column:
 def learned_fold(doc_id: Column) -> Column:
     """True where labels may be learned: crc32 of the id's decimal text, mod 4, is not 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0)) != 2
+
+
+LOW = -(1 << 63)
+#: Ids up to which they are broadcast (about 16 MB); more are joined by shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not in the one column of dropped; a null id is an id."""
+    gone = dropped.toDF("gone").select(F.coalesce(F.col("gone").cast("long"), F.lit(LOW)).alias("gone"))
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    return docs.join(side, F.coalesce(docs[id_col].cast("long"), F.lit(LOW)) == F.col("gone"), "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import LOW, lower_ascii, without, written
 
 RADIX_BITS = 4
 RUN = "run int, digest binary, check long, bytes long, n long, keep long, keep_row long"
@@ -115,7 +115,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     joined by broadcast, so no task gets all copies of a hot text; the others
     are joined by their digest.
     """
-    low = -(1 << 63)
+    low = LOW
     rows = written(spark, digests(docs, id_col, text_col), "digests")
     entries = rows.select(
         "digest", "check", "bytes", F.lit(1).cast("long").alias("n"),
@@ -137,3 +137,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         (F.col("row") == F.col("g.keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """The rows of docs that stay."""
+    found = written(spark, exact_dedup(spark, docs, id_col, text_col, keep), "copies")
+    again = written(spark, found.groupBy(id_col).count().filter("count > 1").select(id_col), "again")
+    gone = found.filter("not kept").select(id_col)
+    if again.isEmpty():
+        return without(docs, id_col, gone)
+    # Rows that share their id: what stays is told by the text as well, and of equal rows one is left.
+    many = again.withColumn("many", F.lit(True)).withColumnRenamed(id_col, "again")
+    digest = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    first = without(without(docs, id_col, again), id_col, gone)
+    some = docs.join(many, docs[id_col].eqNullSafe(many["again"])).select(*[docs[c] for c in docs.columns], digest.alias("sluice_digest"))
+    stay = found.filter("kept").select(F.col(id_col).alias("stay"), F.col("text_sha256").alias("sha"))
+    some = some.join(stay, some[id_col].eqNullSafe(stay["stay"]) & (some["sluice_digest"] == stay["sha"]), "left_semi")
+    return first.unionByName(some.dropDuplicates([id_col, "sluice_digest"]).drop("sluice_digest"))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, sift
-from .common import written
+from .common import BROADCAST_IDS, LOW, without, written
 from .shingles import U, chunk_sets, chunks, mix, short_shingle, shingle_sets
 
 #: A shingle counts as common from this share of the documents; at most (mean set size) / SHARE shingles can.
@@ -52,7 +52,6 @@ BLOCK = 1_000_000
 PIVOTS = (4, 12)
 #: 64-bit words of the parity sketch.
 SKETCH = 8
-LOW = -(1 << 63)
 _SEEDS = tuple(U(x) for x in np.random.default_rng(7).integers(1, 1 << 63, 8))
 
 
@@ -72,8 +71,6 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
 
 SKETCHES = [f"k{i}" for i in range(SKETCH)]
 PROFILE = "kind int, id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in SKETCHES) + ", wide binary"
-#: Wanted documents up to which their ids are broadcast (16 MB); more pass a bitmap.
-BROADCAST_IDS = 500_000
 
 
 def _sketch(s: np.ndarray, places: int) -> np.ndarray:
@@ -387,3 +384,9 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     out = rows.select("id", "n", "sid", "sid2").join(ends, ["sid", "sid2", "n"], "left").select("id", "n", F.coalesce("top", "id").alias("top"))
     back = lambda c: F.nullif(F.col(c), F.lit(LOW))
     return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("top").alias("component_id"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs with one document, that of the smallest id, of each component."""
+    classes = written(spark, ngram_classes(spark, docs, id_col, text_col, k, percent), "near")
+    return without(docs, id_col, classes.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct())

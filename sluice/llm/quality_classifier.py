@@ -91,7 +91,10 @@ def pool(word, shape, owner, texts: int, vectors: np.ndarray) -> np.ndarray:
     mean = share @ vectors
     spread = np.sqrt(np.maximum(0, share @ vectors**2 - mean**2))
     top = np.sort(share[:, :WORDS], axis=1)[:, -3:] if texts else share[:, :3]
-    some = np.column_stack([np.log1p(size) / 10, (counts[:, :WORDS] > 0).sum(axis=1, keepdims=True) / size, top])
+    again = np.zeros(texts)
+    if len(word) > 1:
+        again = np.bincount(owner[1:], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1]), texts)
+    some = np.column_stack([again / size[:, 0], np.log1p(size) / 10, (counts[:, :WORDS] > 0).sum(axis=1, keepdims=True) / size, top])
     return np.hstack([mean, spread, share[:, WORDS : WORDS + SHAPES] @ _FOLD, some]).astype(np.float32)
 
 
@@ -130,12 +133,13 @@ class Network:
         self.p, self.temperature = p, 1.0
         cx, cy = (x[aside], y[aside]) if aside.any() else (x, y)
         z = self._logits(cx)
+        cy = np.where(cy > 0, (cy.sum() + 1) / (cy.sum() + 2), 1 / (len(cy) - cy.sum() + 2))  # as many more of each kind would not all agree
 
         def loss(temp):
             q = np.clip(1 / (1 + np.exp(-z / temp)), 1e-9, 1 - 1e-9)
             return -(cy * np.log(q) + (1 - cy) * np.log(1 - q)).mean()
 
-        self.temperature = min(np.geomspace(0.25, 8, 61), key=loss)
+        self.temperature = min(np.geomspace(0.25, 64, 61), key=loss)
         return self
 
     def _logits(self, x):

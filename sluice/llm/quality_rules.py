@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, words, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -33,7 +33,7 @@ RULES = (
     Rule(0, "too_few_words", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 14 * n_words"),
     Rule(6, "shouting", "2 * n_upper > word_chars"),
@@ -51,11 +51,16 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(F.translate(text, chars, ""))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: the id and the measurements the rules read."""
-    base = docs.select(
-        F.col(id_col).alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")
-    ).withColumn("_w", words(F.col("_t")))
+ROW = "_row"
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row a document: the id (carry: all its columns, as the struct ``_row``) and the measurements the rules read."""
+    if carry:
+        key, id_col = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), ROW
+    else:
+        key = F.col(id_col)
+    base = docs.select(key.alias(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_w", words(F.col("_t")))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n = F.size("_w")
     windows = F.when(
@@ -115,12 +120,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """The measurements and ``fail_bits``: bit k is set where rule k fails."""
     bits = F.lit(0).cast("long")
     for r in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+    return measure(docs, id_col, text_col, carry).withColumn("fail_bits", bits)
 
 
 def apply_policy(led: DataFrame, version: str = PRODUCTION) -> DataFrame:
@@ -134,6 +139,13 @@ def apply_policy(led: DataFrame, version: str = PRODUCTION) -> DataFrame:
     )
 
 
+def kept_documents(docs: DataFrame, version: str = PRODUCTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps."""
+    judged = apply_policy(ledger(docs, id_col, text_col, carry=True), version)
+    # Written first: a filter would be pushed below the measurements, which the optimizer then puts into it whole.
+    return written(docs.sparkSession, judged.select(ROW, "kept"), "judged").filter("kept").select(f"{ROW}.*")
+
+
 def ablations(led: DataFrame, version: str = PRODUCTION) -> DataFrame:
     """For each rule of the policy: how many documents it fails, and how many only it rejects."""
     mask = POLICIES[version] | BASE_MASK

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 import public_tokenizers
 
-from . import byte_bpe, exact_dedup, language_id, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filter
+from . import byte_bpe, exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filter
 from .common import table
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +14,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_mixing(spark, sf_dir):
+    return mixing.mix_sources(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -49,9 +51,15 @@ def op5_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_classes(spark, table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op3_token_counts, op4_sharding, op5_ngram_jaccard_join, op6_quality_classifier,
-    op7_language_id, op8_quality_rules, op9_byte_bpe, op10_exact_dedup,
+    op1_url_filter, op2_mixing, op3_token_counts, op4_sharding, op5_ngram_jaccard_join, op6_quality_classifier,
+    op7_language_id, op8_quality_rules, op9_byte_bpe, op10_exact_dedup, pipeline,
 )}
 
 ORACLE = {}
