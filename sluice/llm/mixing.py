@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, LOW, SPACE_RE, SPACES, written
 
-BUCKET_BITS = 12
+#: Rows that a bucket of a leaf with all documents would hold; from that the number of buckets.
+BUCKET_ROWS = 2_000
 #: Each leaf's row is found under so many keys, so that no task joins a whole hot leaf.
 SALTS = 64
 
@@ -113,16 +114,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, mix: Mix = Mix(), id_col:
     plan = budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("a")), mix)
     b = F.floor("got").cast("long")
     plan = plan.select(*leaf, F.floor(b / F.col("a")).cast("int").alias("whole"), (b % F.col("a")).alias("left"))
-    plan = written(spark, plan, "budgets").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "tokens"), F.lit(SALTS)).cast("int"))
     placed = salted.join(plan, [*leaf, "salt"], "left").drop("salt").withColumn("h", F.xxhash64(F.lit(mix.seed), "whole", "id"))
-    placed = placed.withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS))
+    bits = max(4, min(20, (rows.count() // BUCKET_ROWS).bit_length()))
+    placed = placed.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     placed = written(spark, placed, "placed")
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).drop("t")
-    sums = written(spark, sums, "buckets")
-    inside = Window.partitionBy(*leaf, "bucket").orderBy(F.shiftleft("h", BUCKET_BITS), "id")
+    inside = Window.partitionBy(*leaf, "bucket").orderBy(F.shiftleft("h", bits), "id")
     end = F.col("before") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = placed.join(sums, [*leaf, "bucket"]).withColumn("end", end)
     copies = F.coalesce(F.col("whole") + (F.col("end") <= F.col("left")).cast("int"), F.lit(0))

@@ -20,8 +20,9 @@ link with take part in the inverted lists as well, so no link is lost.
 Equal sets are one class from the start.  Within a key no list of all pairs is
 made: a few pivots a key are compared with its members first, linked ones are
 merged, and what is then compared are pairs of different components only, and
-only those that the sizes and a parity sketch (its distance never exceeds that
-of the sets) leave open.  Every comparison is of whole sets.
+only those that the sizes, the key's places in both sets (the members from
+there on bound the overlap, if it is the first key in common) and a parity
+sketch (its distance never exceeds that of the sets) leave open.  Every comparison is of whole sets.
 
 Defined results.  Null or empty text, or text without words: n_shingles 0,
 linked with nothing, component its own id.  Null ids are kept and linked as
@@ -166,8 +167,9 @@ def boundary(sizes: dict[int, int], spread: float, percent: int, most: int = 256
     return min(range(0, most + 1, 4), key=cost)
 
 
-def keys_of(s: np.ndarray, w: np.ndarray, percent: int, limit: int) -> np.ndarray:
-    """The keys of a set (sorted hashes s, their counts among the common w)."""
+def keys_of(s: np.ndarray, w: np.ndarray, percent: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set (sorted hashes s, their counts among the common w), and the most
+    members it can share with a set whose first key in common this is."""
     n = len(s)
     p = n - need(n, percent) + 1
     p2 = min(n, p + 1)
@@ -176,14 +178,16 @@ def keys_of(s: np.ndarray, w: np.ndarray, percent: int, limit: int) -> np.ndarra
         head = s[order[:p2]]
     else:
         head = s[:p2]
-    out = []
+    keys, rest = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     if n <= limit:  # light: pairs; a set of one shingle links with equal sets only
         a, b = np.triu_indices(p2, 1)
         lo, hi = np.minimum(head[a], head[b]), np.maximum(head[a], head[b])
-        out.append(mix(lo * _SEEDS[4] + hi * _SEEDS[5] + U(2)))
+        keys.append(mix(lo * _SEEDS[4] + hi * _SEEDS[5] + U(2)))
+        rest.append(n + 1 - b)
     if 100 * n > percent * limit:  # heavy, or of a size that a heavy one can link with
-        out.append(mix(head[:p] * _SEEDS[6] + U(1)))
-    return np.concatenate(out) if out else np.zeros(0, U)
+        keys.append(mix(head[:p] * _SEEDS[6] + U(1)))
+        rest.append(n - np.arange(p))
+    return np.concatenate(keys), np.concatenate(rest)
 
 
 def _postings(batches, k: int, percent: int, limit: int, tables):
@@ -197,10 +201,10 @@ def _postings(batches, k: int, percent: int, limit: int, tables):
         return np.where(names[at] == x, values[at], 0)
 
     def posted():
-        return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(owner))], ["key", "sid"])
+        return pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(keys))), pa.array(np.concatenate(owner)), pa.array(np.concatenate(left).astype(np.int32))], ["key", "sid", "rest"])
 
     for b in batches:
-        keys, owner, seen, rows = [], [], set(), 0
+        keys, owner, left, seen, rows = [], [], [], set(), 0
         for h, begin, s in chunks(_texts(b), k):
             total = np.concatenate([[0], np.cumsum(look(h, frequent, weight))])
             score = np.minimum(total[k : k + len(s)] - total[: len(s)], 255).astype(U)
@@ -218,12 +222,12 @@ def _postings(batches, k: int, percent: int, limit: int, tables):
                 if one in seen:
                     continue
                 seen.add(one)
-                x = keys_of(x, w, percent, limit)
-                keys.append(x), owner.append(np.full(len(x), one, np.int64))
+                x, rest = keys_of(x, w, percent, limit)
+                keys.append(x), owner.append(np.full(len(x), one, np.int64)), left.append(rest)
                 rows += len(x)
                 if rows >= 200_000:
                     yield posted()
-                    keys, owner, rows = [], [], 0
+                    keys, owner, left, rows = [], [], [], 0
         if keys:
             yield posted()
 
@@ -306,13 +310,13 @@ def _verified(spark: SparkSession, pairs: DataFrame, info: DataFrame, docs: Data
 
 
 def _link(spark: SparkSession, members: DataFrame, info: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(v, label) for every class in members (key, rep, n)."""
+    """(v, label) for every class in members (key, rep, n, rest)."""
     labels = written(spark, members.select(F.col("rep").alias("v"), F.col("rep").alias("label")).distinct(), "labels")
 
     def labelled(first: bool) -> DataFrame:
         if first:
             return members.withColumn("label", F.col("rep"))
-        return written(spark, members.join(labels, F.col("rep") == F.col("v")).select("key", "rep", "n", "label"), "members")
+        return written(spark, members.join(labels, F.col("rep") == F.col("v")).select("key", "rep", "n", "rest", "label"), "members")
 
     def merged(pairs: DataFrame) -> DataFrame:
         edges = _verified(spark, pairs, info, docs, k, percent)
@@ -320,14 +324,14 @@ def _link(spark: SparkSession, members: DataFrame, info: DataFrame, docs: DataFr
         up = components(spark, edges).toDF("w", "up")
         return written(spark, labels.join(up, F.col("label") == F.col("w"), "left").select("v", F.coalesce("up", "label").alias("label")), "labels")
 
-    near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    near = (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")) & ((100 + percent) * F.least("rest", "prest") >= percent * (F.col("n") + F.col("pn")))
     ordered = [F.least("rep", "prep").alias("a"), F.greatest("rep", "prep").alias("b")]
     done = 0
     for upto in PIVOTS:
         m = labelled(done == 0)
-        chosen = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "label")).alias(f"p{j}") for j in range(done, upto)]
+        chosen = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "rest", "label")).alias(f"p{j}") for j in range(done, upto)]
         pivots = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *chosen).filter("lo != hi")
-        one = [F.struct(*[F.col(f"p{j}.{c}").alias(f"p{c}") for c in ("rep", "n", "label")]) for j in range(done, upto)]
+        one = [F.struct(*[F.col(f"p{j}.{c}").alias(f"p{c}") for c in ("rep", "n", "rest", "label")]) for j in range(done, upto)]
         pivots = written(spark, pivots.select("key", F.inline(F.array_distinct(F.array(*one)))), "pivots")
         labels = merged(m.join(pivots, "key").filter((F.col("label") != F.col("plabel")) & near).select(*ordered).distinct())
         done = upto
@@ -338,7 +342,8 @@ def _link(spark: SparkSession, members: DataFrame, info: DataFrame, docs: DataFr
     held = written(spark, m.join(top, "key").join(info.select(F.col("rep").alias("r"), *SKETCHES), F.col("rep") == F.col("r")).drop("r"), "open")
     x, out = held.alias("x"), held.filter("label != top").alias("u")
     rest = x.join(out, F.col("x.key") == F.col("u.key")).filter(
-        (F.col("x.label") != F.col("u.label")) & ((F.col("x.label") == F.col("x.top")) | (F.col("x.rep") < F.col("u.rep"))) & _open("x.", "u.", percent)
+        (F.col("x.label") != F.col("u.label")) & ((F.col("x.label") == F.col("x.top")) | (F.col("x.rep") < F.col("u.rep")))
+        & ((100 + percent) * F.least("x.rest", "u.rest") >= percent * (F.col("x.n") + F.col("u.n"))) & _open("x.", "u.", percent)
     )
     return merged(rest.select(F.least("x.rep", "u.rep").alias("a"), F.greatest("x.rep", "u.rep").alias("b")).distinct())
 
@@ -369,14 +374,14 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
 
     classes = rows.filter("n > 0").groupBy("sid", "sid2", "n").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in SKETCHES])
     classes = written(spark, classes, "classes")
-    posted = written(spark, d.mapInArrow(partial(_postings, k=k, percent=percent, limit=limit, tables=sent), "key long, sid long"), "postings")
+    posted = written(spark, d.mapInArrow(partial(_postings, k=k, percent=percent, limit=limit, tables=sent), "key long, sid long, rest int"), "postings")
     shared = posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key")
     places_of = sift(posted, "key", bitmap(spark, written(spark, shared, "keys"), "key"))
     places_of = written(spark, places_of.distinct(), "places")
     wide = rows.select(F.col("id").alias("rep"), "sid", "sid2", "wide")
     info = places_of.select("sid").distinct().join(classes, "sid").join(wide, ["rep", "sid", "sid2"])
     info = written(spark, info, "info")
-    members = written(spark, places_of.join(info.select("sid", "rep", "n").distinct(), "sid").select("key", "rep", "n"), "members")
+    members = written(spark, places_of.join(info.select("sid", "rep", "n").distinct(), "sid").select("key", "rep", "n", "rest"), "members")
     labels = _link(spark, members, info, d, k, percent)
 
     ends = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("sid", "sid2", "n", F.coalesce("label", "rep").alias("top"))
