@@ -1 +1,61 @@
-"""plans."""
+"""Condensers: a text column in, STRUCT(output, original_size, compressed_size, ratio, format) out."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import jsonprune, truncate, webtext
+from ..operators.lines import collapse_repeats
+
+
+def _result(before: Column, after: Column, fmt: str, max_lines: int | None) -> Column:
+    out = F.array_join(after, "\n")
+    n, m = F.size(before), F.size(after)
+    percent = T.saved_percent(F.length(F.array_join(before, "\n")), F.length(out))
+    foot = F.concat(out, F.lit("\n"), T.footer(n, m, percent)) if max_lines is None or max_lines > 1 else out
+    return F.struct(
+        foot.alias("output"), n.alias("original_size"), m.alias("compressed_size"), T.ratio(n, m).alias("ratio"), F.lit(fmt).alias("format")
+    )
+
+
+def _fit(ls: Column, max_lines: int | None, kind: str) -> Column:
+    return ls if max_lines is None else truncate.truncate(ls, F.lit(max(1, max_lines - 1) if max_lines > 1 else max_lines), kind)
+
+
+def _quiet(ls: Column) -> Column:
+    """Noise goes; runs of three or more leave a hint (the in-row form)."""
+    flag = lambda x: T.is_noise(x)
+    step = lambda a, x: F.when(flag(x), F.struct(a["out"].alias("out"), (a["n"] + 1).alias("n"))).otherwise(
+        F.struct(F.concat(a["out"], _hint(a["n"]), F.array(x)).alias("out"), F.lit(0).alias("n"))
+    )
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"))
+    return F.aggregate(ls, start, step, lambda a: F.concat(a["out"], _hint(a["n"])))
+
+
+def _hint(n: Column) -> Column:
+    text = F.concat(F.lit("  ... ("), n.cast("string"), F.lit(" progress/noise lines filtered)"))
+    return F.when(n >= 3, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def bash(content: Column, max_lines: int | None = None) -> Column:
+    before = T.lines(content)
+    after = collapse_repeats(_quiet(T.collapse_blanks(T.lines(T.strip_ansi(content)))))
+    return _result(before, _fit(after, max_lines, "bash"), "bash", max_lines)
+
+
+def read(content: Column, max_lines: int | None = None, numbers: bool = False) -> Column:
+    ls = T.lines(content)
+    ls = F.when(T.has_line_numbers(ls), F.transform(ls, T.strip_line_number)).otherwise(ls)
+    after = _fit(T.collapse_blanks(ls), max_lines, "read")
+    return _result(T.lines(content), T.number_lines(after) if numbers else after, "read", max_lines)
+
+
+def web(html: Column, max_lines: int | None = None, markdown: bool = True) -> Column:
+    after = T.lines(T.rtrim_lines(webtext.page_text(html, markdown)["text"]))
+    return _result(T.lines(html), _fit(after, max_lines, "web"), "markdown" if markdown else "text", max_lines)
+
+
+def api(content: Column, **options) -> Column:
+    return jsonprune.prune_json(content, **options)
