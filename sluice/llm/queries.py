@@ -6,6 +6,7 @@ import public_tokenizers
 
 from . import byte_bpe, exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, sharding, token_counts, url_filter
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 PIECES, RANKS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 
@@ -61,5 +62,3 @@ QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_mixing, op3_token_counts, op4_sharding, op5_ngram_jaccard_join, op6_quality_classifier,
     op7_language_id, op8_quality_rules, op9_byte_bpe, op10_exact_dedup, pipeline,
 )}
-
-ORACLE = {}
