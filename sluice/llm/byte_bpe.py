@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import model
+
 #: Steps of the transducer, neighbours tried, and coded words that a worker keeps at most.
-KEPT_STEPS, KEPT_FITS, KEPT_WORDS = 150_000, 400_000, 800_000
+KEPT_STEPS, KEPT_FITS, KEPT_WORDS = 100_000, 250_000, 400_000
 #: Matches of the pattern that are held at once.
 HELD = 50_000
 
@@ -315,15 +317,8 @@ class Coder:
         return np.fromiter((i for some in self.parts(text) for x in some for i in x[1]), np.int32)
 
 
-_MADE: dict = {}
-
-
 def coder(ranks: bytes, pattern: str, named: bool = True) -> Coder:
-    key = (hash(ranks), pattern, named)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Coder(ranks, pattern, named)
-    return _MADE[key]
+    return model(("byte_bpe", hash(ranks), pattern, named), lambda: Coder(ranks, pattern, named))
 
 
 def _summaries(batches, sent):

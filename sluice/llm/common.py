@@ -71,3 +71,15 @@ def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     gone = dropped.toDF("gone").select(F.coalesce(F.col("gone").cast("long"), F.lit(LOW)).alias("gone"))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
     return docs.join(side, F.coalesce(docs[id_col].cast("long"), F.lit(LOW)) == F.col("gone"), "left_anti")
+
+
+_MODEL: dict = {}
+
+
+def model(key=None, make=None):
+    """What a Python worker keeps between tasks: one model with its caches, that of the last key; without a key, nothing."""
+    if key not in _MODEL:
+        _MODEL.clear()
+        if make is not None:
+            _MODEL[key] = make()
+    return _MODEL.get(key)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOW, lower_ascii, without, written
+from .common import LOW, lower_ascii, model, without, written
 
 RADIX_BITS = 4
 RUN = "run int, digest binary, check long, bytes long, n long, keep long, keep_row long"
@@ -48,6 +48,7 @@ def _merge(batches, smallest: bool):
     The last key of a batch waits for the next batch.  Entries of a digest
     whose length or second hash differ are not of one text: that is an error.
     """
+    model()  # this worker may hold another operator's caches
     held = None
     names = [f.split()[0] for f in RUN.split(", ")]
     for batch in batches:

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmap import bitmap, sift
-from .common import BROADCAST_IDS, LOW, without, written
+from .common import BROADCAST_IDS, LOW, model, without, written
 from .shingles import U, chunk_sets, chunks, mix, short_shingle, shingle_sets
 
 #: A shingle counts as common from this share of the documents; at most (mean set size) / SHARE shingles can.
@@ -104,6 +104,7 @@ def _profile(batches, k: int, share: float):
     shingles (n), and how many others of the block equal an uncommon one (sid).
     4: a block's words (n).
     """
+    model()  # this worker may hold another operator's caches
     width = 4 + SKETCH
     block, words, held, docs = [], [], 0, 0
 

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import model
+
 SPACE = "▁"
 LIMIT = 4096
 #: Pre-tokens whose counts a worker keeps at most.
@@ -109,15 +111,8 @@ class Pieces:
         return out + np.bincount(owner, cost, len(tokens)).astype(np.int64)
 
 
-_MADE: dict = {}
-
-
-def pieces(model: bytes) -> Pieces:
-    key = hash(model)
-    if key not in _MADE:
-        _MADE.clear()
-        _MADE[key] = Pieces(model)
-    return _MADE[key]
+def pieces(data: bytes) -> Pieces:
+    return model(("pieces", hash(data)), lambda: Pieces(data))
 
 
 def _count(batches, sent):
