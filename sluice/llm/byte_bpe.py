@@ -46,7 +46,8 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], room: int = 1):
+        self.most_steps, self.most_fits = KEPT_STEPS * room, KEPT_FITS * room
         self.ranks = ranks
         self.bytes_of = {i: t for t, i in ranks.items()}
         child, token, inner = {}, [-1], {0}  # the trie: node << 8 | byte -> node
@@ -99,7 +100,7 @@ class Encoder:
             else:
                 x = self.bytes_of[before]
                 ok = self._fit(-1, t) and self.merge(x + y) == [x, y]
-            if len(self.fits) > KEPT_FITS:
+            if len(self.fits) > self.most_fits:
                 self.fits.clear()
             self.fits[key] = ok
         return ok
@@ -162,7 +163,7 @@ class Encoder:
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one match of the pattern."""
-        if len(self.steps) > KEPT_STEPS or len(self.taken) > 4 * KEPT_STEPS:
+        if len(self.steps) > self.most_steps or len(self.taken) > 4 * self.most_steps:
             self._forget()
         steps, state, ids, n, at = self.steps, 0, [], len(data), 0
         while at < n:  # by the table as far as it goes
@@ -265,7 +266,9 @@ class Coder:
     def __init__(self, ranks: bytes, pattern: str, named: bool = True):
         table = read_ranks(ranks)
         self.named = named
-        self.encoder, self.decoder = Encoder(table), Decoder(table)
+        room = 2 if named else 1  # a summary's entries are all that its worker holds
+        self.half = KEPT_WORDS * room // 2
+        self.encoder, self.decoder = Encoder(table, room), Decoder(table)
         self.match = regex.compile(pattern)
         self.name = {i: str(i) for i in table.values()}
         self.words: dict[str, tuple] = {}
@@ -278,7 +281,7 @@ class Coder:
             back = self.decoder.stream(ids)[1]
             made = (len(ids), ",".join([self.name[i] for i in ids]) if self.named else tuple(ids), w if back == w else back)
         if len(w) <= 64:
-            if len(self.words) > KEPT_WORDS // 2:
+            if len(self.words) > self.half:
                 self.older, self.words = self.words, {}
             self.words[w] = made
         return made
