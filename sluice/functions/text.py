@@ -74,25 +74,29 @@ WARNINGS = (r"(?i:^warn(ing)?[\s:\[\]])", r"(?i:^npm\s+warn)", r"^\s*⚠\s", r"(
 
 
 def trim(x: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    """Space, and tab to carriage return, off both ends."""
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
-def _any(patterns) -> str:
-    return "|".join(f"(?:{p})" for p in patterns)
+def _any(t: Column, patterns) -> Column:
+    """Whether one fits.  Those bound to the line's start make one regex that is tried there only."""
+    bound = [p for p in patterns if p.startswith(("^", "(?i:^"))]
+    free = [p for p in patterns if p not in bound]
+    out = t.rlike("^(?:" + "|".join(f"(?:{p})" for p in bound) + ")")
+    return out | t.rlike("|".join(f"(?:{p})" for p in free)) if free else out
 
 
 def is_noise(line: Column) -> Column:
     t = trim(line)
-    return (t != "") & t.rlike(_any(NOISE))
+    return (t != "") & _any(t, NOISE)
 
 
 def is_error(line: Column) -> Column:
-    return trim(line).rlike(_any(ERRORS))
+    return _any(trim(line), ERRORS)
 
 
 def is_warning(line: Column) -> Column:
-    return trim(line).rlike(_any(WARNINGS))
+    return _any(trim(line), WARNINGS)
 
 
 def is_blank(line: Column) -> Column:
