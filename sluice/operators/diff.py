@@ -59,8 +59,56 @@ def stats(ls: DataFrame, doc: str = "doc_id") -> DataFrame:
     return files(ls, doc).groupBy(doc).agg(F.count("*").alias("n_files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
 
 
-def summary_line(op="op", old="old_path", new="new_path") -> Column:
-    delta = F.when(F.col("binary"), " (binary)").otherwise(F.format_string(" (+%d -%d)", "additions", "deletions"))
-    moved = F.concat(F.lit("R "), F.col(old), F.lit(" → "), F.col(new), F.when(F.col("similarity").isNotNull(), F.format_string(" (similarity %d%%)", "similarity")).otherwise(""))
-    plain = F.concat(F.col(op), F.lit(" "), F.when(F.col(op) == "D", F.col(old)).otherwise(F.col(new)))
-    return F.concat(F.when(F.col(op) == "R", moved).otherwise(plain), delta)
+def summary_line() -> Column:
+    """A line for a row of files(): operation, path or move, and the counts that say something."""
+    some = lambda sign, c: F.when(F.col(c) > 0, F.concat(F.lit(sign), F.col(c).cast("string")))
+    plus = F.when(F.col("op") != "D", some("+", "additions"))
+    minus = F.when(F.col("op") != "A", some("-", "deletions"))
+    parts = F.concat_ws(" ", plus, minus)
+    delta = F.when(parts != "", F.concat(F.lit(" ("), parts, F.lit(")"))).otherwise("")
+    alike = F.when(F.col("similarity").isNotNull(), F.format_string(" (similarity %d%%)", "similarity")).otherwise("")
+    path = F.when(F.col("op") == "D", F.col("old_path")).otherwise(F.col("new_path"))
+    plain = F.concat("op", F.lit(" "), path, delta, F.when(F.col("binary"), " (binary)").otherwise(""))
+    return F.when(F.col("op") == "R", F.concat(F.lit("R "), "old_path", F.lit(" → "), "new_path", alike)).otherwise(plain)
+
+
+def told_stats(content: Column) -> Column:
+    """STRUCT(n_files, additions, deletions) of the first ``N files changed`` line of a text; null without one."""
+    line = r"(?m)^\s*(\d+) files? changed(?:, (\d+) insertions?\(\+\))?(?:, (\d+) deletions?\(-\))?"
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(content, line, k), F.lit("")).cast("long"), F.lit(0).cast("long"))
+    return F.when(content.rlike(line), F.struct(part(1).alias("n_files"), part(2).alias("additions"), part(3).alias("deletions")))
+
+
+def render(ls: DataFrame, doc: str = "doc_id", level: str = "compact") -> DataFrame:
+    """(doc, lines): a summary (and, unless ``summary``, each file's hunks: changed lines only if ``compact``).
+
+    Lines keep their rows until the last step, so a document's file is never
+    held as one value before its lines are chosen.
+    """
+    if level not in ("summary", "compact", "full"):
+        raise ValueError(f"level: {level}")
+    each = files(ls, doc).select(doc, "file_no", summary_line().alias("line"), "binary", "additions", "deletions")
+    row = lambda a, b, c: F.struct(F.col("file_no").alias("f"), F.lit(a).alias("part"), b.alias("at"), c.alias("line"))
+    zero = F.lit(0).cast("long")
+    if level == "full":
+        raw = numbered(ls, doc).select(doc, row(1, F.col("line_no").cast("long"), F.col("line")).alias("r"))
+        gaps = each.filter("file_no > 1").select(doc, row(0, zero, F.lit("")).alias("r"))
+        return _lines(raw.unionByName(gaps), doc)
+    heads = each.select(doc, row(1, zero, F.col("line")).alias("r"))
+    if level == "summary":
+        total = each.groupBy(doc).agg(F.count("*").alias("n"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"))
+        first = total.select(doc, F.struct(zero.alias("f"), F.lit(0).alias("part"), zero.alias("at"), F.format_string("%d files changed, +%d -%d", "n", "a", "d").alias("line")).alias("r"))
+        return _lines(first.unionByName(heads), doc)
+    inside = numbered(ls, doc).filter("hunk_no is not null")
+    changed = inside.filter(F.col("line").rlike(r"^[-+\\\\]") | F.col("line").startswith("@@ "))
+    gaps = each.filter("file_no > 1").select(doc, row(0, zero, F.lit("")).alias("r"))
+    shown = changed.join(each.filter("binary").select(doc, "file_no"), [doc, "file_no"], "left_anti").select(doc, row(2, F.col("line_no").cast("long"), F.col("line")).alias("r"))
+    per = inside.groupBy(doc, "file_no", "hunk_no").agg(F.max("line_no").alias("line_no"), F.count_if(F.col("line").rlike(r"^[-+\\\\]")).alias("n"))
+    idle = per.filter("n = 0").select(doc, row(2, F.col("line_no").cast("long"), F.lit("  ... context omitted ...")).alias("r"))
+    bare = each.join(inside.select(doc, "file_no").distinct(), [doc, "file_no"], "left_anti").unionByName(each.filter("binary")).distinct()
+    notes = bare.select(doc, row(3, zero, F.when(F.col("binary"), "Binary file changed").otherwise("No textual hunks")).alias("r"))
+    return _lines(heads.unionByName(gaps).unionByName(shown).unionByName(idle).unionByName(notes), doc)
+
+
+def _lines(rows: DataFrame, doc: str) -> DataFrame:
+    return rows.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]).alias("lines"))
