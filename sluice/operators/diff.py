@@ -74,7 +74,8 @@ def summary_line() -> Column:
 
 def told_stats(content: Column) -> Column:
     """STRUCT(n_files, additions, deletions) of the first ``N files changed`` line of a text; null without one."""
-    line = r"(?m)^\s*(\d+) files? changed(?:, (\d+) insertions?\(\+\))?(?:, (\d+) deletions?\(-\))?"
+    gap = r"[^\S\n]+"
+    line = rf"(?i)(\d+){gap}files?{gap}changed(?:,{gap}(\d+){gap}insertions?\(\+\))?(?:,{gap}(\d+){gap}deletions?\(-\))?"
     part = lambda k: F.coalesce(F.nullif(F.regexp_extract(content, line, k), F.lit("")).cast("long"), F.lit(0).cast("long"))
     return F.when(content.rlike(line), F.struct(part(1).alias("n_files"), part(2).alias("additions"), part(3).alias("deletions")))
 

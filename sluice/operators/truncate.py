@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # The share of the kept lines that the head gets.
-HEAD = {"api": 0.6, "search": 0.6, "grep": 0.6, "read": 0.6, "bash": 0.4, "test": 0.4, "web": 0.65, "ls": 0.7}
+HEAD = {"api": 0.6, "search": 0.6, "grep": 0.6, "read": 0.6, "bash": 0.4, "test": 0.4, "web": 0.65, "ls": 0.7, "diff": 0.75}
 
 
 def _marker(n: Column) -> Column:

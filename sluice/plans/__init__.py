@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import language
 from ..functions import text as T
-from ..operators import jsonprune, truncate, webtext
+from ..operators import diff as diffs
+from ..operators import grep as greps
+from ..operators import jsonprune, listing, lines, source, testfailures, truncate, webtext
 from ..operators.lines import collapse_repeats
 
 
@@ -45,13 +48,62 @@ def bash(content: Column, max_lines: int | None = None) -> Column:
     return _result(before, _fit(after, max_lines, "bash"), "bash", max_lines)
 
 
-def read(content: Column, max_lines: int | None = None, numbers: bool = False) -> Column:
+def read(
+    content: Column, max_lines: int | None = None, numbers: bool = False, name: Column | None = None,
+    comments: bool = True, imports: bool = True, blanks: bool = True, mode: str = "full",
+) -> Column:
+    """Source text.  name: the file's name; by its language comments, imports and (mode ``skeleton``) bodies fold."""
+    if mode not in ("full", "skeleton"):
+        raise ValueError(f"mode: {mode}")
+    lang = F.lit("unknown") if name is None else language.detect_language(F.coalesce(name, F.lit("")))
     ls = T.lines(content)
-    ls = F.when(T.has_line_numbers(ls), F.transform(ls, T.strip_line_number)).otherwise(ls)
-    after = _fit(T.collapse_blanks(ls), max_lines, "read")
+    ls = F.when(~lang.isin("yaml", "json", "toml") & T.has_line_numbers(ls), F.transform(ls, T.strip_line_number)).otherwise(ls)
+    after = T.collapse_blanks(ls) if blanks else ls
+    if name is not None:
+        after = source.fold_source(after, lang, comments, imports, mode == "skeleton")
+    after = _fit(after, max_lines, "read")
     return _result(T.lines(content), T.number_lines(after) if numbers else after, "read", max_lines)
 
 
+def report(content: Column, max_lines: int | None = None, kind: Column | None = None) -> Column:
+    """A test run's output: the counts, and what is told of each failure."""
+    whole = F.coalesce(content, F.lit(""))
+    after = testfailures.render(testfailures.parse_report(whole, kind), whole)
+    return _result(T.lines(whole), _fit(after, max_lines, "test"), "test", max_lines)
+
+
+def _condensed(docs: DataFrame, rendered: DataFrame, doc: str, content: str, kind: str, max_lines: int | None, empty: str) -> DataFrame:
+    """Documents with their rendered lines; those without any row get the line ``empty``."""
+    both = docs.select(doc, F.coalesce(content, F.lit("")).alias("text")).join(rendered, doc, "left")
+    after = T.collapse_blanks(F.coalesce("lines", F.split(F.lit(empty), "\n")))
+    return both.select(doc, _result(T.lines(F.col("text")), _fit(after, max_lines, kind), kind, max_lines).alias("r")).select(doc, "r.*")
+
+
+def grep(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, **options) -> DataFrame:
+    """Search output of either form -> one row a document.  Options: max_files, distance, files_only."""
+    ls = lines.explode_lines(docs, doc, content)
+    head = T.trim(F.regexp_extract(F.col(content), r"^([^\r\n]*)", 1))
+    agent = docs.filter(head.rlike(r"(?i)^Found \d+ match\(?e?s?\)?( in \d+ file\(?s?\)?)?$")).select(doc)
+    plain = ls.join(agent, doc, "left_anti").select(doc, "line_no", greps.parse_hit(F.col("line")).alias("h")).filter("h is not null").select(doc, "line_no", "h.*")
+    hits = plain.unionByName(greps.agent_hits(ls.join(agent, doc, "left_semi"), doc))
+    return _condensed(docs, greps.render(hits, doc, docs=docs, **options), doc, content, "grep", max_lines, "")
+
+
+def ls(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, **options) -> DataFrame:
+    """Listings of any form -> one row a document.  Options: depth, by_type."""
+    rows = lines.explode_lines(docs, doc, content)
+    drawn = rows.groupBy(doc).agg(F.bool_or(F.col("line").rlike(listing.TREE)).alias("tree")).filter("tree").select(doc)
+    found = listing.entries(rows.join(drawn, doc, "left_anti"), doc).unionByName(listing.tree_entries(rows.join(drawn, doc, "left_semi"), doc))
+    empty = "project/ (0 files, 0 dirs)\n\nNo files" if options.get("by_type") else "project/ (0 files, 0 dirs)\n(empty)\n\nTypes: none"
+    return _condensed(docs, listing.render(found, doc, roots=listing.root_names(rows, doc), **options), doc, content, "ls", max_lines, empty)
+
+
+def diff(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, level: str = "compact") -> DataFrame:
+    """Unified diffs -> one row a document."""
+    rows = lines.explode_lines(docs, doc, content)
+    return _condensed(docs, diffs.render(rows, doc, level), doc, content, "diff", max_lines, "0 files changed, +0 -0" if level == "summary" else "")
+
+
 def web(html: Column, max_lines: int | None = None, markdown: bool = True) -> Column:
     after = T.lines(T.rtrim_lines(webtext.page_text(html, markdown)["text"]))
     return _result(T.lines(html), _fit(after, max_lines, "web"), "markdown" if markdown else "text", max_lines)
