@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +35,90 @@ def truncate(ls: Column, m: Column, kind: str) -> Column:
     return F.when(n <= m, ls).when(m <= 1, F.array(_marker(n))).otherwise(cut)
 
 
+def _budget(tokens: np.ndarray, most: int, kind: str) -> int:
+    """The budget of lines that a coarse search in steps of the root, then a fine one, finds; 0: none fits."""
+    n = len(tokens)
+    if tokens.sum() <= most:
+        return n
+    sums = np.concatenate([[0], np.cumsum(tokens)])
+    m = np.arange(1, n + 1)
+    head = np.floor(m * HEAD[kind]) if kind in ("bash", "test") else np.maximum(1, np.floor((m - 1) * HEAD[kind]))
+    head = np.where(m == 1, 0, head).astype(int)
+    tail = m - head - 1
+    omitted = n - head - tail
+    marker = (len("... ( lines omitted) ...") + np.floor(np.log10(np.maximum(omitted, 1))).astype(int) + 2 + 3) // 4
+    total = sums[head] + sums[n] - sums[n - tail] + np.where(m < n, marker, 0)
+    total[n - 1] = sums[n]
+    fits = total <= most
+    step = max(1, math.isqrt(n))
+    grid = np.arange(n, 0, -step)
+    coarse = next((b for b in grid if fits[b - 1]), 1 if fits[0] else 0)
+    top = min(n, coarse + step - 1)
+    return next((b for b in range(top, coarse, -1) if fits[b - 1]), int(coarse)) if coarse else 0
+
+
 def budget_for_tokens(ls: Column, most: int, kind: str) -> Column:
-    """The largest number of lines whose truncation has at most ``most`` tokens; 1 if none has."""
+    """The number of lines whose truncation has at most ``most`` tokens; 1 if none has, all if there is no need."""
+    tokens = F.transform(ls, lambda x: F.ceil((T.units(x) + 1) / 4).cast("int"))
+
+    @F.pandas_udf("int")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: _budget(np.asarray(t, dtype=np.int64), most, kind), na_action="ignore").astype("Int32")
+
+    found = run(tokens)
+    return F.when(F.size(ls) == 0, 0).otherwise(F.greatest(found, F.lit(1)))
+
+
+def by_tokens(ls: Column, most: int, kind: str) -> Column:
+    """STRUCT(lines, exceeded): at most ``most`` tokens, or a marker alone that exceeds them."""
+    cut = truncate(ls, budget_for_tokens(ls, most, kind), kind)
+    return F.struct(cut.alias("lines"), (T.line_tokens(cut) > most).alias("exceeded"))
+
+
+def around(ls: Column, m: int, kind: str, flag: Callable[[Column], Column], before: int, after: int) -> Column:
+    """As truncate, but lines that ``flag`` tells stay with those around them, if they take less than 0.7 of m."""
     n = F.size(ls)
-    fits = F.filter(F.sequence(n, F.lit(1), F.lit(-1)), lambda b: T.line_tokens(truncate(ls, b, kind)) <= most)
-    return F.when(n == 0, 0).when(T.line_tokens(ls) <= most, n).otherwise(F.coalesce(F.get(fits, 0), F.lit(1)))
+    at = F.filter(F.transform(ls, lambda x, i: F.when(flag(x), i)), lambda i: i.isNotNull())
+    start = F.greatest(F.lit(0), F.array_min(at) - before)
+    end = F.least(n, F.array_max(at) + after)
+    context = F.greatest(F.lit(0), F.lit(m) - (end - start) - 2)
+    head = F.least(F.floor(context * 0.4).cast("int"), start)
+    tail = F.least(context - head, n - end)
+    none = F.array().cast("array<string>")
+    gap = lambda k: F.when(k > 0, F.array(_marker(k))).otherwise(none)
+    kept = F.concat(F.slice(ls, F.lit(1), head), gap(start - head), F.slice(ls, start + 1, end - start), gap(n - tail - end), F.slice(ls, n - tail + 1, tail))
+    return F.when((n > m) & (m > 1) & (F.size(at) > 0) & (end - start < m * 0.7), kept).otherwise(truncate(ls, F.lit(m), kind))
+
+
+# Lines at which source text is best cut, and lines of a test report that tell of failures.
+BOUNDARY = (
+    r"^\s*(?:(export\s+)?(async\s+)?(function|class|interface|type|enum|const|let|var|def|fn|pub|func|struct|impl|module|namespace)\s"
+    r"|(public|private|protected|static|abstract)\s|\}$|\};$|$)"
+)
+FAILURE = r"(?i:^FAIL\b)|^✗\b|^×\b|^\s*at\s+|(?i:^AssertionError[:\s])|(?i:\bexpected\b)|(?i:\breceived\b)|(?i:\bpanic\b)|^E\s+|^Error[:\s]"
+
+
+def at_boundary(ls: Column, m: int) -> Column:
+    """As truncate of source text, but the head ends where a function or block does, if one does within five lines."""
+    n, wanted = F.size(ls), max(1, math.floor((m - 1) * 0.6))
+    near = [k for d in range(6) for k in dict.fromkeys((wanted - d, wanted + d)) if 1 <= k <= m - 1]
+    head = F.coalesce(*[F.when((F.lit(k) < n) & F.get(ls, F.lit(k)).rlike(BOUNDARY), k) for k in near], F.lit(wanted))
+    tail = F.least(F.lit(m - 1 - wanted), F.greatest(F.lit(0), m - head - 1))
+    omitted = n - tail - head
+    cut = F.concat(F.slice(ls, F.lit(1), head), F.array(_marker(omitted)), F.slice(ls, n - tail + 1, tail))
+    return F.when((n > m) & (m > 1) & (omitted > 0), cut).otherwise(truncate(ls, F.lit(m), "read") if m <= 1 else ls)
+
+
+def fit(ls: Column, max_lines: int | None, max_tokens: int | None, kind: str) -> Column:
+    """STRUCT(lines, exceeded): the kind's truncation by lines, then by tokens."""
+    out = ls
+    if max_lines is not None:
+        if kind == "bash":
+            out = around(ls, max_lines, kind, T.is_error, 3, 4)
+        elif kind == "test":
+            out = around(ls, max_lines, kind, lambda x: T.trim(x).rlike(FAILURE), 2, 3)
+        elif kind == "read":
+            out = at_boundary(ls, max_lines)
+        else:
+            out = truncate(ls, F.lit(max_lines), kind)
+    return F.struct(out.alias("lines"), F.lit(False).alias("exceeded")) if max_tokens is None else by_tokens(out, max_tokens, kind)

@@ -9,22 +9,26 @@ from ..functions import language
 from ..functions import text as T
 from ..operators import diff as diffs
 from ..operators import grep as greps
-from ..operators import jsonprune, listing, lines, source, testfailures, truncate, webtext
+from ..operators import htmltree, jsonprune, listing, lines, source, testfailures, truncate, webtext
 from ..operators.lines import collapse_repeats
 
 
-def _result(before: Column, after: Column, fmt: str, max_lines: int | None) -> Column:
-    out = F.array_join(after, "\n")
-    n, m = F.size(before), F.size(after)
+def _result(before: Column, after: Column, fmt: str, max_lines: int | None, max_tokens: int | None, kind: str) -> Column:
+    """The lines fitted to the limits, with a footer that counts against them; none where they leave no room for it."""
+    for limit in (max_lines, max_tokens):
+        if limit is not None and limit <= 0:
+            raise ValueError(f"limit: {limit}")
+    foot = (max_lines is None or max_lines > 1) and (max_tokens is None or max_tokens > 25)
+    less = lambda limit, own: limit if limit is None or not foot else limit - own
+    fitted = truncate.fit(after, less(max_lines, 1), less(max_tokens, 25), kind)
+    kept, exceeded = fitted["lines"], fitted["exceeded"]
+    out, n, m = F.array_join(kept, "\n"), F.size(before), F.size(kept)
     percent = T.saved_percent(F.length(F.array_join(before, "\n")), F.length(out))
-    foot = F.concat(out, F.lit("\n"), T.footer(n, m, percent)) if max_lines is None or max_lines > 1 else out
+    whole = F.concat(out, F.lit("\n"), T.footer(n, m, percent)) if foot else out
     return F.struct(
-        foot.alias("output"), n.alias("original_size"), m.alias("compressed_size"), T.ratio(n, m).alias("ratio"), F.lit(fmt).alias("format")
-    )
-
-
-def _fit(ls: Column, max_lines: int | None, kind: str) -> Column:
-    return ls if max_lines is None else truncate.truncate(ls, F.lit(max(1, max_lines - 1) if max_lines > 1 else max_lines), kind)
+        whole.alias("output"), n.alias("original_size"), m.alias("compressed_size"), T.ratio(n, m).alias("ratio"), F.lit(fmt).alias("format"),
+        exceeded.alias("budget_exceeded"),
+    )
 
 
 def _quiet(ls: Column) -> Column:
@@ -42,15 +46,15 @@ def _hint(n: Column) -> Column:
     return F.when(n >= 3, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
-def bash(content: Column, max_lines: int | None = None) -> Column:
+def bash(content: Column, max_lines: int | None = None, max_tokens: int | None = None) -> Column:
     before = T.lines(content)
     after = collapse_repeats(_quiet(T.collapse_blanks(T.lines(T.strip_ansi(content)))))
-    return _result(before, _fit(after, max_lines, "bash"), "bash", max_lines)
+    return _result(before, after, "bash", max_lines, max_tokens, "bash")
 
 
 def read(
     content: Column, max_lines: int | None = None, numbers: bool = False, name: Column | None = None,
-    comments: bool = True, imports: bool = True, blanks: bool = True, mode: str = "full",
+    comments: bool = True, imports: bool = True, blanks: bool = True, mode: str = "full", max_tokens: int | None = None,
 ) -> Column:
     """Source text.  name: the file's name; by its language comments, imports and (mode ``skeleton``) bodies fold."""
     if mode not in ("full", "skeleton"):
@@ -61,52 +65,61 @@ def read(
     after = T.collapse_blanks(ls) if blanks else ls
     if name is not None:
         after = source.fold_source(after, lang, comments, imports, mode == "skeleton")
-    after = _fit(after, max_lines, "read")
-    return _result(T.lines(content), T.number_lines(after) if numbers else after, "read", max_lines)
+    return _result(T.lines(content), T.number_lines(after) if numbers else after, "read", max_lines, max_tokens, "read")
 
 
-def report(content: Column, max_lines: int | None = None, kind: Column | None = None) -> Column:
+def report(content: Column, max_lines: int | None = None, kind: Column | None = None, max_tokens: int | None = None) -> Column:
     """A test run's output: the counts, and what is told of each failure."""
     whole = F.coalesce(content, F.lit(""))
     after = testfailures.render(testfailures.parse_report(whole, kind), whole)
-    return _result(T.lines(whole), _fit(after, max_lines, "test"), "test", max_lines)
+    return _result(T.lines(whole), after, "test", max_lines, max_tokens, "test")
 
 
-def _condensed(docs: DataFrame, rendered: DataFrame, doc: str, content: str, kind: str, max_lines: int | None, empty: str) -> DataFrame:
+def _condensed(docs: DataFrame, rendered: DataFrame, doc: str, content: str, kind: str, limits: tuple[int | None, int | None], empty: str) -> DataFrame:
     """Documents with their rendered lines; those without any row get the line ``empty``."""
     both = docs.select(doc, F.coalesce(content, F.lit("")).alias("text")).join(rendered, doc, "left")
     after = T.collapse_blanks(F.coalesce("lines", F.split(F.lit(empty), "\n")))
-    return both.select(doc, _result(T.lines(F.col("text")), _fit(after, max_lines, kind), kind, max_lines).alias("r")).select(doc, "r.*")
+    return both.select(doc, _result(T.lines(F.col("text")), after, kind, *limits, kind).alias("r")).select(doc, "r.*")
 
 
-def grep(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, **options) -> DataFrame:
+def grep(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, max_tokens: int | None = None, **options) -> DataFrame:
     """Search output of either form -> one row a document.  Options: max_files, distance, files_only."""
     ls = lines.explode_lines(docs, doc, content)
     head = T.trim(F.regexp_extract(F.col(content), r"^([^\r\n]*)", 1))
     agent = docs.filter(head.rlike(r"(?i)^Found \d+ match\(?e?s?\)?( in \d+ file\(?s?\)?)?$")).select(doc)
     plain = ls.join(agent, doc, "left_anti").select(doc, "line_no", greps.parse_hit(F.col("line")).alias("h")).filter("h is not null").select(doc, "line_no", "h.*")
     hits = plain.unionByName(greps.agent_hits(ls.join(agent, doc, "left_semi"), doc))
-    return _condensed(docs, greps.render(hits, doc, docs=docs, **options), doc, content, "grep", max_lines, "")
+    return _condensed(docs, greps.render(hits, doc, docs=docs, **options), doc, content, "grep", (max_lines, max_tokens), "")
 
 
-def ls(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, **options) -> DataFrame:
+def ls(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, max_tokens: int | None = None, **options) -> DataFrame:
     """Listings of any form -> one row a document.  Options: depth, by_type."""
     rows = lines.explode_lines(docs, doc, content)
     drawn = rows.groupBy(doc).agg(F.bool_or(F.col("line").rlike(listing.TREE)).alias("tree")).filter("tree").select(doc)
     found = listing.entries(rows.join(drawn, doc, "left_anti"), doc).unionByName(listing.tree_entries(rows.join(drawn, doc, "left_semi"), doc))
     empty = "project/ (0 files, 0 dirs)\n\nNo files" if options.get("by_type") else "project/ (0 files, 0 dirs)\n(empty)\n\nTypes: none"
-    return _condensed(docs, listing.render(found, doc, roots=listing.root_names(rows, doc), **options), doc, content, "ls", max_lines, empty)
+    return _condensed(docs, listing.render(found, doc, roots=listing.root_names(rows, doc), **options), doc, content, "ls", (max_lines, max_tokens), empty)
 
 
-def diff(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, level: str = "compact") -> DataFrame:
+def diff(docs: DataFrame, doc: str, content: str, max_lines: int | None = None, max_tokens: int | None = None, level: str = "compact") -> DataFrame:
     """Unified diffs -> one row a document."""
     rows = lines.explode_lines(docs, doc, content)
-    return _condensed(docs, diffs.render(rows, doc, level), doc, content, "diff", max_lines, "0 files changed, +0 -0" if level == "summary" else "")
-
-
-def web(html: Column, max_lines: int | None = None, markdown: bool = True) -> Column:
-    after = T.lines(T.rtrim_lines(webtext.page_text(html, markdown)["text"]))
-    return _result(T.lines(html), _fit(after, max_lines, "web"), "markdown" if markdown else "text", max_lines)
+    return _condensed(docs, diffs.render(rows, doc, level), doc, content, "diff", (max_lines, max_tokens), "0 files changed, +0 -0" if level == "summary" else "")
+
+
+def web(html: Column, max_lines: int | None = None, markdown: bool = True, max_tokens: int | None = None, mode: str = "page") -> Column:
+    """A page.  mode: ``page`` (its text), ``dense`` (the densest element's), ``snapshot`` (the DOM's), ``code`` (code blocks)."""
+    if mode == "page":
+        text = webtext.page_text(html, markdown)["text"]
+    elif mode == "dense":
+        text = htmltree.densest(html)["text"]
+    elif mode == "snapshot":
+        text = htmltree.snapshot(html)
+    elif mode == "code":
+        text = F.array_join(F.transform(htmltree.code_of(html), lambda c: F.concat(F.lit("```\n"), c, F.lit("\n```"))), "\n\n")
+    else:
+        raise ValueError(f"mode: {mode}")
+    return _result(T.lines(html), T.lines(T.rtrim_lines(text)), "markdown" if markdown else "text", max_lines, max_tokens, "web")
 
 
 def api(content: Column, **options) -> Column:

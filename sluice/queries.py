@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import language, text, url
-from .operators import diff, grep, jsonprune, lines, listing, routing, search, testreport, truncate, webtext
+from . import plans
+from .operators import diff, grep, htmltree, jsonprune, lines, listing, routing, search, source, testfailures, testreport, truncate, webtext
 from .plans import api, bash, read, web
 from .streaming import dedupe  # noqa: F401
 
@@ -259,6 +260,105 @@ def test_summaries(spark, d):
     return testreport.summaries(_sql(spark, d, REPORT, "supplier"))
 
 
+@query("""SELECT c_nationkey AS doc_id, concat(count(*), ' files changed, +', sum(1 + (c_custkey % 2 = 0)::INT)::BIGINT, ' -', count(*), chr(10),
+  string_agg(concat(CASE WHEN c_custkey % 3 = 0 THEN 'A' ELSE 'M' END, ' f', c_custkey, '.txt (+', 1 + (c_custkey % 2 = 0)::INT, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' -1' END, ')'), chr(10) ORDER BY c_custkey)) AS output
+FROM customer GROUP BY c_nationkey""")
+def diff_summaries(spark, d):
+    return diff.render(_sql(spark, d, DIFF, "customer"), level="summary").select("doc_id", F.array_join("lines", "\n").alias("output"))
+
+
+@query()
+def diff_render(spark, d):
+    return diff.render(_sql(spark, d, DIFF, "customer")).select("doc_id", F.array_join("lines", "\n").alias("output"))
+
+
+FAILED = """SELECT s_nationkey AS doc_id, concat_ws(chr(10), '=== short test summary info ===', array_join(transform(array_sort(collect_list(s_suppkey)),
+  k -> concat('FAILED t.py::t', lpad(CAST(k AS STRING), 9, '0'), ' - boom ', CAST(k % 3 AS STRING))), chr(10)), concat('=== ', count(*), ' failed, 4 passed in 0.5s ===')) AS text
+  FROM supplier GROUP BY s_nationkey"""
+
+
+@query("""WITH n AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY s_nationkey)
+SELECT s_nationkey AS doc_id, 'pytest' AS runner, 'fail' AS status, (n + 4)::INT AS total, 4::INT AS passed, n::INT AS failed, '0.5s' AS duration,
+  concat('t.py::t', lpad(s_suppkey::VARCHAR, 9, '0')) AS test_name, concat('boom ', s_suppkey % 3) AS error FROM supplier JOIN n USING (s_nationkey)""")
+def test_failures(spark, d):
+    r = _sql(spark, d, FAILED, "supplier").select("doc_id", testfailures.parse_report(F.col("text")).alias("r"))
+    told = ("runner", "status", "total", "passed", "failed", "duration")
+    return r.select("doc_id", *[f"r.{c}" for c in told], F.explode("r.failures").alias("f")).select("doc_id", *told, "f.test_name", "f.error")
+
+
+@query()
+def condense_report(spark, d):
+    return _sql(spark, d, FAILED, "supplier").select("doc_id", plans.report(F.col("text"), 40).alias("r")).select("doc_id", "r.*")
+
+
+@query()
+def listing_draw(spark, d):
+    ls = _sql(spark, d, f"SELECT p_partkey % 10 AS doc_id, p_partkey AS line_no, name AS line FROM ({NAMES})", "part")
+    return listing.render(listing.entries(ls), roots=listing.root_names(ls)).select("doc_id", F.array_join("lines", "\n").alias("output"))
+
+
+@query()
+def grep_render(spark, d):
+    return grep.render(_grep(spark, d)).select("doc_id", F.array_join("lines", "\n").alias("output"))
+
+
+AGENT = """SELECT l_suppkey AS doc_id, (l_orderkey * 8 + l_linenumber) * 2 + k AS line_no, CASE WHEN k = 0 THEN concat('src/f', CAST(l_partkey % 30 AS VARCHAR(9)), '.py')
+  ELSE concat('  Line ', CAST(l_orderkey % 400 AS VARCHAR(9)), ': qty ', l_returnflag) END AS line FROM lineitem CROSS JOIN (SELECT CAST(id AS INT) AS k FROM range(2)) AS s"""
+
+
+@query("""SELECT l_suppkey AS doc_id, (l_orderkey * 8 + l_linenumber) * 2 + 1 AS line_no, concat('src/f', l_partkey % 30, '.py') AS file, (l_orderkey % 400)::INT AS line,
+  NULL::INT AS col, concat('qty ', l_returnflag) AS text FROM lineitem WHERE l_orderkey % 400 > 0""")
+def grep_agent_hits(spark, d):
+    return grep.agent_hits(_sql(spark, d, AGENT, "lineitem"))
+
+
+SOURCE = """SELECT c_nationkey AS doc_id, 'a.py' AS name, array_join(transform(array_sort(collect_list(c_custkey)), k -> concat('def f', CAST(k AS STRING), '():', chr(10),
+  '    a', chr(10), '    b', chr(10), IF(k % 2 = 1, concat('    c', chr(10)), ''), '# note', chr(10), 'import x')), chr(10)) AS text FROM customer GROUP BY c_nationkey"""
+
+
+@query("""SELECT c_nationkey AS doc_id, string_agg(concat('def f', c_custkey, '():', chr(10), CASE WHEN c_custkey % 2 = 1 THEN '    ... (3 lines collapsed)' ELSE concat('    a', chr(10), '    b') END,
+  chr(10), '# note', chr(10), 'import x'), chr(10) ORDER BY c_custkey) AS output FROM customer GROUP BY c_nationkey""")
+def source_fold(spark, d):
+    folded = source.fold_source(text.lines(F.col("text")), language.detect_language(F.col("name")), bodies=True)
+    return _sql(spark, d, SOURCE, "customer").select("doc_id", F.array_join(folded, "\n").alias("output"))
+
+
+@query("""SELECT c_nationkey AS doc_id, (sum(5 + c_custkey % 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 5 - c_custkey % 2)::INT AS line_no, 'function' AS kind,
+  concat('def f', c_custkey, '():') AS signature FROM customer""")
+def source_signatures(spark, d):
+    return source.signatures(_sql(spark, d, SOURCE, "customer"), "doc_id", "name", "text")
+
+
+@query("SELECT c_nationkey AS doc_id, count(*) AS n_imports, count(*) AS n_comments FROM customer GROUP BY c_nationkey")
+def source_flags(spark, d):
+    ls = lines.explode_lines(_sql(spark, d, SOURCE, "customer"), "doc_id", "text")
+    c, lang = F.col("line"), F.lit("python")
+    return ls.groupBy("doc_id").agg(F.count_if(language.is_import(c, lang)).alias("n_imports"), F.count_if(language.is_line_comment(c, lang)).alias("n_comments"))
+
+
+@query(r"""WITH b AS (SELECT user_id, event_id, regexp_replace(props, '\\.|"(?:\\.|[^"\\])*(?:"|$)|//.*', '', 'g') AS t FROM events)
+SELECT user_id AS doc_id, event_id AS line_no, sum(length(replace(t, '}', '')) - length(replace(t, '{', ''))) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS depth FROM b""")
+def brace_depth(spark, d):
+    return source.brace_depth(_t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), F.col("props").alias("line")), "doc_id")
+
+
+# --- result pages ---------------------------------------------------------------------------------------
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS query, 'bing' AS engine, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS position, concat('T ', o_orderkey) AS title,
+  concat('https://x.org/', o_orderkey) AS url, concat('about ', o_orderpriority) AS snippet FROM orders QUALIFY position <= 10""")
+def result_pages(spark, d):
+    """The ten first results of each page (as the engine's page parser has it)."""
+    item = F.concat(
+        F.lit('<li class="b_algo"><h2><a href="https://x.org/'), F.col("o_orderkey").cast("string"), F.lit('">T '), F.col("o_orderkey").cast("string"),
+        F.lit("</a></h2><p>about "), "o_orderpriority", F.lit("</p></li>"),
+    )
+    items = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("i")))), lambda x: x["i"])
+    pages = _t(spark, d, "orders").groupBy(F.col("o_custkey").cast("string").alias("query")).agg(items.alias("i"))
+    body = F.concat(F.lit('<ol id="b_results">'), F.array_join("i", ""), F.lit("</ol>"))
+    return htmltree.results(pages.select("query", F.lit("bing").alias("engine"), body.alias("body")))
+
+
 # --- routing, state, reports ----------------------------------------------------------------------------
 
 
@@ -324,3 +424,35 @@ def condense_web(spark, d):
 @query()
 def condense_api(spark, d):
     return _t(spark, d, "events").select("event_id", api(F.col("props"), depth=3, items=3).alias("r")).select("event_id", "r.*")
+
+
+@query()
+def page_snapshot(spark, d):
+    return _t(spark, d, "pages").select("page_id", htmltree.snapshot(F.col("html")).alias("output"))
+
+
+@query()
+def page_densest(spark, d):
+    return _t(spark, d, "pages").select("page_id", htmltree.densest(F.col("html")).alias("p")).select("page_id", "p.*")
+
+
+def _whole(ls):
+    per = ls.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("l"))
+    return per.select("doc_id", F.array_join("l", "\n").alias("text"))
+
+
+@query()
+def condense_grep(spark, d):
+    docs = _whole(_sql(spark, d, AGENT, "lineitem")).withColumn("text", F.concat(F.lit("Found 9 matches\n"), "text"))
+    return plans.grep(docs, "doc_id", "text", 60)
+
+
+@query()
+def condense_diff(spark, d):
+    return plans.diff(_whole(_sql(spark, d, DIFF, "customer")), "doc_id", "text", 60)
+
+
+@query()
+def condense_ls(spark, d):
+    names = _sql(spark, d, NAMES, "part").select((F.col("p_partkey") % 10).alias("doc_id"), F.col("p_partkey").alias("line_no"), F.col("name").alias("line"))
+    return plans.ls(_whole(names), "doc_id", "text", by_type=True)

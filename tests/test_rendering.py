@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from sluice.operators import diff, grep, htmltree, listing
+from sluice import plans
+from sluice.operators import diff, grep, htmltree, listing, truncate
 
 
 def _lines(spark, *texts):
@@ -124,3 +125,55 @@ def test_result_pages(spark):
         ("Bing", 1, "A", "https://example.org/a", "about a"), ("Bing", 2, "B", "https://b.org", "B"),
         ("sogou", 1, "S", "https://www.sogou.com/link?url=q", "told"), ("sogou", 2, "D", "https://d.org", "D"),
     ]
+
+
+def _cut(spark, ls, column):
+    return spark.createDataFrame([(ls,)], "l array<string>").select(column(F.col("l")).alias("o")).first().o
+
+
+def test_truncation(spark):
+    ls = [f"x{k}" for k in range(30)]
+    flagged = ls[:12] + ["error: bad"] + ls[13:]
+    got = _cut(spark, flagged, lambda c: truncate.fit(c, 14, None, "bash")["lines"])
+    assert got == ["x0", "x1", "... (7 lines omitted) ...", *flagged[9:16], "... (11 lines omitted) ...", "x27", "x28", "x29"]
+    plain = _cut(spark, ls, lambda c: truncate.fit(c, 5, None, "bash")["lines"])
+    assert plain == ["x0", "x1", "... (26 lines omitted) ...", "x28", "x29"]
+    code = ls[:7] + ["}"] + ls[8:]
+    assert _cut(spark, code, lambda c: truncate.fit(c, 11, None, "read")["lines"]) == [*code[:7], "... (20 lines omitted) ...", *code[27:]]
+    assert _cut(spark, ls, lambda c: truncate.fit(c, 1, None, "read")["lines"]) == ["... (30 lines omitted) ..."]
+
+
+def _tokens(lines):
+    return sum((len(x) + 4) // 4 for x in lines)
+
+
+def test_token_budgets(spark):
+    """Against the search spelled out, over lines of many lengths."""
+    for n, most, kind in ((40, 100, "grep"), (41, 60, "web"), (7, 9, "bash"), (5, 2, "ls"), (3, 500, "test"), (150, 300, "bash")):
+        ls = [chr(97 + k % 26) * (k * 7 % 23) for k in range(n)]
+        got = _cut(spark, ls, lambda c: truncate.by_tokens(c, most, kind))
+
+        def cut(m):
+            h = int(m * truncate.HEAD[kind]) if kind in ("bash", "test") else max(1, int((m - 1) * truncate.HEAD[kind]))
+            t = m - h - 1
+            return ls if n <= m else [f"... ({n} lines omitted) ..."] if m == 1 else [*ls[:h], f"... ({n - h - t} lines omitted) ...", *ls[n - t:]]
+
+        fits = [m for m in range(1, n + 1) if _tokens(cut(m)) <= most]
+        step = max(1, int(n**0.5))
+        coarse = next((m for m in range(n, 0, -step) if m in fits), min(fits, default=1))
+        want = cut(max([m for m in fits if m < coarse + step], default=1))
+        assert got.lines == want and got.exceeded == (_tokens(want) > most), (n, most, kind)
+
+
+def test_condensers(spark):
+    docs = spark.createDataFrame([(1, "a/x.py:3:hit\na/x.py:9:hit"), (2, "Found 1 match\n/p/q\n  Line 4: t"), (3, ""), (4, None)], "id int, t string")
+    got = {r.id: r.output.split("\n")[:-1] for r in plans.grep(docs, "id", "t").collect()}
+    assert got == {1: ["2 matches in 1 file", "", "a/x.py (2 matches):", "  :3 hit", "  :9 hit"], 2: ["1 match in 1 file", "", "/p/q (1 match):", "  :4 t"], 3: ["0 matches in 0 files"], 4: ["0 matches in 0 files"]}
+    docs = spark.createDataFrame([(1, TREE), (2, "a/b.py\na/c.py"), (3, None)], "id int, t string")
+    got = {r.id: r.output.split("\n")[0] for r in plans.ls(docs, "id", "t").collect()}
+    assert got == {1: "proj/ (3 files, 1 dirs)", 2: "a/ (2 files, 0 dirs)", 3: "project/ (0 files, 0 dirs)"}
+    docs = spark.createDataFrame([(1, DIFF), (2, None)], "id int, t string")
+    got = {r.id: (r.output.split("\n")[0], r.compressed_size) for r in plans.diff(docs, "id", "t", max_lines=6).collect()}
+    assert got[1] == ("M x.py (+1 -1)", 5) and got[2][0] == ""
+    src = spark.createDataFrame([("a.py", "def f():\n  a\n  b\n  c\nx")], "n string, t string").select(plans.read(F.col("t"), name=F.col("n"), mode="skeleton").alias("r")).first().r
+    assert src.output.split("\n")[:3] == ["def f():", "    ... (3 lines collapsed)", "x"]
