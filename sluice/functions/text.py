@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,6 +75,11 @@ ERRORS = (
 WARNINGS = (r"(?i:^warn(ing)?[\s:\[\]])", r"(?i:^npm\s+warn)", r"^\s*⚠\s", r"(?i:deprecated)")
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often ``then`` uses it (no UDF inside ``then``)."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def trim(x: Column) -> Column:
     """Space, and tab to carriage return, off both ends."""
     return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
@@ -124,8 +131,8 @@ def strip_line_number(line: Column) -> Column:
 def has_line_numbers(ls: Column) -> Column:
     """Over 60 % of the first ten lines that aren't blank, three at least, begin with a number."""
     first = F.slice(F.filter(ls, lambda x: x.rlike(r"\S")), 1, 10)
-    hits = F.size(F.filter(first, lambda x: x.rlike(r"^\s*\d+\s*[:|]\s?")))
-    return (F.size(first) >= 3) & (hits > 0.6 * F.size(first))
+    hits = lambda f: F.size(F.filter(f, lambda x: x.rlike(r"^\s*\d+\s*[:|]\s?")))
+    return bound(first, lambda f: (F.size(f) >= 3) & (hits(f) > 0.6 * F.size(f)))
 
 
 def number_lines(ls: Column) -> Column:
@@ -152,8 +159,9 @@ def indent(line: Column) -> Column:
 
 def collapse_blanks(ls: Column) -> Column:
     """Each run of blank lines becomes one empty line."""
-    kept = F.filter(ls, lambda x, i: ~(is_blank(x) & F.coalesce(F.when(i > 0, is_blank(F.get(ls, i - 1))), F.lit(False))))
-    return F.transform(kept, lambda x: F.when(is_blank(x), "").otherwise(x))
+    before = F.concat(F.array(F.lit("-")), ls)
+    kept = F.zip_with(ls, before, lambda x, p: F.when(is_blank(x), F.when(~is_blank(p), "")).otherwise(x))
+    return F.filter(kept, lambda x: x.isNotNull())
 
 
 def units(text: Column) -> Column:

@@ -69,7 +69,7 @@ def _collapsed(lines: pd.Series, norms: pd.Series) -> pd.Series:
             i = j
         return out
 
-    return pd.Series([one(list(a), list(b)) for a, b in zip(lines, norms)])
+    return pd.Series([None if a is None else one(list(a), list(b)) for a, b in zip(lines, norms)])
 
 
 def collapse_repeats(ls: Column) -> Column:

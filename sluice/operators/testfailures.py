@@ -327,7 +327,10 @@ def parse_report(text: Column, kind: Column | None = None) -> Column:
 
 def render(report: Column, text: Column) -> Column:
     """An array of lines: the summary and, unless all passed, a block for each failure."""
-    r = report
+    return T.bound(F.struct(report.alias("r"), text.alias("t")), lambda v: _told(v["r"], v["t"]))
+
+
+def _told(r: Column, text: Column) -> Column:
     words = lambda *parts: F.filter(F.array(*parts), lambda x: x.isNotNull())
     some = lambda c, word, least=0: F.when(c >= least, F.concat(c.cast("string"), F.lit(f" {word}")))
     paren = lambda xs: F.when(F.size(xs) > 0, F.concat(F.lit(" ("), F.array_join(xs, ", "), F.lit(")"))).otherwise("")

@@ -29,10 +29,15 @@ def head_count(kind: str, m: Column) -> Column:
 
 def truncate(ls: Column, m: Column, kind: str) -> Column:
     """At most m lines: all, or a marker, or head, marker and tail."""
-    n, head = F.size(ls), head_count(kind, m)
-    tail = m - head - 1
-    cut = F.concat(F.slice(ls, F.lit(1), head), F.array(_marker(n - head - tail)), F.slice(ls, n - tail + 1, F.greatest(tail, F.lit(0))))
-    return F.when(n <= m, ls).when(m <= 1, F.array(_marker(n))).otherwise(cut)
+
+    def cut(v: Column) -> Column:
+        own, n, most = v["ls"], F.size(v["ls"]), v["m"]
+        head = head_count(kind, most)
+        tail = most - head - 1
+        some = F.concat(F.slice(own, F.lit(1), head), F.array(_marker(n - head - tail)), F.slice(own, n - tail + 1, F.greatest(tail, F.lit(0))))
+        return F.when(n <= most, own).when(most <= 1, F.array(_marker(n))).otherwise(some)
+
+    return T.bound(F.struct(ls.alias("ls"), m.alias("m")), cut)
 
 
 def _budget(tokens: np.ndarray, most: int, kind: str) -> int:
@@ -72,22 +77,31 @@ def budget_for_tokens(ls: Column, most: int, kind: str) -> Column:
 def by_tokens(ls: Column, most: int, kind: str) -> Column:
     """STRUCT(lines, exceeded): at most ``most`` tokens, or a marker alone that exceeds them."""
     cut = truncate(ls, budget_for_tokens(ls, most, kind), kind)
-    return F.struct(cut.alias("lines"), (T.line_tokens(cut) > most).alias("exceeded"))
+    return T.bound(cut, lambda c: F.struct(c.alias("lines"), (T.line_tokens(c) > most).alias("exceeded")))
 
 
 def around(ls: Column, m: int, kind: str, flag: Callable[[Column], Column], before: int, after: int) -> Column:
     """As truncate, but lines that ``flag`` tells stay with those around them, if they take less than 0.7 of m."""
-    n = F.size(ls)
-    at = F.filter(F.transform(ls, lambda x, i: F.when(flag(x), i)), lambda i: i.isNotNull())
-    start = F.greatest(F.lit(0), F.array_min(at) - before)
-    end = F.least(n, F.array_max(at) + after)
-    context = F.greatest(F.lit(0), F.lit(m) - (end - start) - 2)
-    head = F.least(F.floor(context * 0.4).cast("int"), start)
-    tail = F.least(context - head, n - end)
     none = F.array().cast("array<string>")
     gap = lambda k: F.when(k > 0, F.array(_marker(k))).otherwise(none)
-    kept = F.concat(F.slice(ls, F.lit(1), head), gap(start - head), F.slice(ls, start + 1, end - start), gap(n - tail - end), F.slice(ls, n - tail + 1, tail))
-    return F.when((n > m) & (m > 1) & (F.size(at) > 0) & (end - start < m * 0.7), kept).otherwise(truncate(ls, F.lit(m), kind))
+
+    def span(own: Column) -> Column:
+        first = lambda flags: F.array_position(flags, True).cast("int")
+        ends = lambda f: F.struct(F.greatest(F.lit(0), first(f) - 1 - before).alias("start"), F.least(F.size(f), F.size(f) - first(F.reverse(f)) + after).alias("end"))
+        return F.struct(own.alias("ls"), T.bound(F.transform(own, flag), lambda f: F.when(first(f) > 0, ends(f))).alias("at"))
+
+    def shares(v: Column) -> Column:
+        start, end = v["at"]["start"], v["at"]["end"]
+        context = F.greatest(F.lit(0), F.lit(m) - (end - start) - 2)
+        head = F.least(F.floor(context * 0.4).cast("int"), start)
+        return F.struct(v["ls"].alias("ls"), start.alias("start"), end.alias("end"), head.alias("head"), F.least(context - head, F.size(v["ls"]) - end).alias("tail"))
+
+    def cut(v: Column) -> Column:
+        own, n, start, end, head, tail = v["ls"], F.size(v["ls"]), v["start"], v["end"], v["head"], v["tail"]
+        kept = F.concat(F.slice(own, F.lit(1), head), gap(start - head), F.slice(own, start + 1, end - start), gap(n - tail - end), F.slice(own, n - tail + 1, tail))
+        return F.when((n > m) & (m > 1) & start.isNotNull() & (end - start < m * 0.7), kept).otherwise(truncate(own, F.lit(m), kind))
+
+    return T.bound(T.bound(T.bound(ls, span), shares), cut)
 
 
 # Lines at which source text is best cut, and lines of a test report that tell of failures.
@@ -100,13 +114,21 @@ FAILURE = r"(?i:^FAIL\b)|^✗\b|^×\b|^\s*at\s+|(?i:^AssertionError[:\s])|(?i:\b
 
 def at_boundary(ls: Column, m: int) -> Column:
     """As truncate of source text, but the head ends where a function or block does, if one does within five lines."""
-    n, wanted = F.size(ls), max(1, math.floor((m - 1) * 0.6))
+    wanted = max(1, math.floor((m - 1) * 0.6))
     near = [k for d in range(6) for k in dict.fromkeys((wanted - d, wanted + d)) if 1 <= k <= m - 1]
-    head = F.coalesce(*[F.when((F.lit(k) < n) & F.get(ls, F.lit(k)).rlike(BOUNDARY), k) for k in near], F.lit(wanted))
-    tail = F.least(F.lit(m - 1 - wanted), F.greatest(F.lit(0), m - head - 1))
-    omitted = n - tail - head
-    cut = F.concat(F.slice(ls, F.lit(1), head), F.array(_marker(omitted)), F.slice(ls, n - tail + 1, tail))
-    return F.when((n > m) & (m > 1) & (omitted > 0), cut).otherwise(truncate(ls, F.lit(m), "read") if m <= 1 else ls)
+
+    def ends(own: Column) -> Column:
+        head = F.coalesce(*[F.when((F.lit(k) < F.size(own)) & F.get(own, F.lit(k)).rlike(BOUNDARY), k) for k in near], F.lit(wanted))
+        return F.struct(own.alias("ls"), head.alias("head"))
+
+    def cut(v: Column) -> Column:
+        own, n, head = v["ls"], F.size(v["ls"]), v["head"]
+        tail = F.least(F.lit(m - 1 - wanted), F.greatest(F.lit(0), m - head - 1))
+        omitted = n - tail - head
+        some = F.concat(F.slice(own, F.lit(1), head), F.array(_marker(omitted)), F.slice(own, n - tail + 1, tail))
+        return F.when((n > m) & (omitted > 0), some).otherwise(own)
+
+    return truncate(ls, F.lit(m), "read") if m <= 1 else T.bound(T.bound(ls, ends), cut)
 
 
 def fit(ls: Column, max_lines: int | None, max_tokens: int | None, kind: str) -> Column:

@@ -21,14 +21,20 @@ def _result(before: Column, after: Column, fmt: str, max_lines: int | None, max_
     foot = (max_lines is None or max_lines > 1) and (max_tokens is None or max_tokens > 25)
     less = lambda limit, own: limit if limit is None or not foot else limit - own
     fitted = truncate.fit(after, less(max_lines, 1), less(max_tokens, 25), kind)
-    kept, exceeded = fitted["lines"], fitted["exceeded"]
-    out, n, m = F.array_join(kept, "\n"), F.size(before), F.size(kept)
-    percent = T.saved_percent(F.length(F.array_join(before, "\n")), F.length(out))
-    whole = F.concat(out, F.lit("\n"), T.footer(n, m, percent)) if foot else out
-    return F.struct(
-        whole.alias("output"), n.alias("original_size"), m.alias("compressed_size"), T.ratio(n, m).alias("ratio"), F.lit(fmt).alias("format"),
-        exceeded.alias("budget_exceeded"),
-    )
+
+    def told(v: Column) -> Column:
+        n, m, out = v["n"], F.size(v["f"]["lines"]), v["out"]
+        whole = F.concat(out, F.lit("\n"), T.footer(n, m, T.saved_percent(v["chars"], F.length(out)))) if foot else out
+        return F.struct(
+            whole.alias("output"), n.alias("original_size"), m.alias("compressed_size"), T.ratio(n, m).alias("ratio"), F.lit(fmt).alias("format"),
+            v["f"]["exceeded"].alias("budget_exceeded"),
+        )
+
+    joined = lambda f: F.struct(f.alias("f"), F.array_join(f["lines"], "\n").alias("out"))
+    sizes = lambda b: F.struct(F.size(b).alias("n"), F.length(F.array_join(b, "\n")).alias("chars"))
+    both = F.struct(T.bound(fitted, joined).alias("a"), T.bound(before, sizes).alias("b"))
+    flat = lambda x: F.struct(x["a"]["f"].alias("f"), x["a"]["out"].alias("out"), x["b"]["n"].alias("n"), x["b"]["chars"].alias("chars"))
+    return T.bound(T.bound(both, flat), told)
 
 
 def _quiet(ls: Column) -> Column:
@@ -61,7 +67,8 @@ def read(
         raise ValueError(f"mode: {mode}")
     lang = F.lit("unknown") if name is None else language.detect_language(F.coalesce(name, F.lit("")))
     ls = T.lines(content)
-    ls = F.when(~lang.isin("yaml", "json", "toml") & T.has_line_numbers(ls), F.transform(ls, T.strip_line_number)).otherwise(ls)
+    bare = lambda own: F.when(T.has_line_numbers(own), F.transform(own, T.strip_line_number)).otherwise(own)
+    ls = F.when(lang.isin("yaml", "json", "toml"), ls).otherwise(T.bound(ls, bare))
     after = T.collapse_blanks(ls) if blanks else ls
     if name is not None:
         after = source.fold_source(after, lang, comments, imports, mode == "skeleton")

@@ -166,7 +166,7 @@ def grep_files(spark, d):
 
 
 @query(f"""WITH h AS ({GREP_SQL}), b AS (SELECT *, coalesce(line - lag(line) OVER w > 3, true)::INT AS new FROM h WINDOW w AS (PARTITION BY doc_id, file ORDER BY line, coalesce(col, 0))),
-c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, file ORDER BY line, coalesce(col, 0) ROWS UNBOUNDED PRECEDING) AS block FROM b)
+c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, file ORDER BY line, coalesce(col, 0)) AS block FROM b)
 SELECT doc_id, file, CAST(block AS BIGINT) AS block, min(line) AS first_line, max(line) AS last_line, count(*) AS n_hits FROM c GROUP BY doc_id, file, block""")
 def grep_blocks(spark, d):
     return grep.blocks(_grep(spark, d))
@@ -302,11 +302,11 @@ def grep_render(spark, d):
     return grep.render(_grep(spark, d)).select("doc_id", F.array_join("lines", "\n").alias("output"))
 
 
-AGENT = """SELECT l_suppkey AS doc_id, (l_orderkey * 8 + l_linenumber) * 2 + k AS line_no, CASE WHEN k = 0 THEN concat('src/f', CAST(l_partkey % 30 AS VARCHAR(9)), '.py')
+AGENT = """SELECT l_suppkey AS doc_id, ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 2 + k AS line_no, CASE WHEN k = 0 THEN concat('src/f', CAST(l_partkey % 30 AS VARCHAR(9)), '.py')
   ELSE concat('  Line ', CAST(l_orderkey % 400 AS VARCHAR(9)), ': qty ', l_returnflag) END AS line FROM lineitem CROSS JOIN (SELECT CAST(id AS INT) AS k FROM range(2)) AS s"""
 
 
-@query("""SELECT l_suppkey AS doc_id, (l_orderkey * 8 + l_linenumber) * 2 + 1 AS line_no, concat('src/f', l_partkey % 30, '.py') AS file, (l_orderkey % 400)::INT AS line,
+@query("""SELECT l_suppkey AS doc_id, ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 2 + 1 AS line_no, concat('src/f', l_partkey % 30, '.py') AS file, (l_orderkey % 400)::INT AS line,
   NULL::INT AS col, concat('qty ', l_returnflag) AS text FROM lineitem WHERE l_orderkey % 400 > 0""")
 def grep_agent_hits(spark, d):
     return grep.agent_hits(_sql(spark, d, AGENT, "lineitem"))

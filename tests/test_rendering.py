@@ -177,3 +177,13 @@ def test_condensers(spark):
     assert got[1] == ("M x.py (+1 -1)", 5) and got[2][0] == ""
     src = spark.createDataFrame([("a.py", "def f():\n  a\n  b\n  c\nx")], "n string, t string").select(plans.read(F.col("t"), name=F.col("n"), mode="skeleton").alias("r")).first().r
     assert src.output.split("\n")[:3] == ["def f():", "    ... (3 lines collapsed)", "x"]
+
+
+def test_all_limits_at_once(spark):
+    text = "\n".join([f"line {k}" for k in range(200)] + ["error: bad", "", "", "end"])
+    df = spark.createDataFrame([("a.py", text), ("b.json", None)], "n string, t string")
+    both = {"max_lines": 30, "max_tokens": 90}
+    made = [plans.bash(F.col("t"), **both), plans.read(F.col("t"), name=F.col("n"), numbers=True, mode="skeleton", **both), plans.report(F.col("t"), **both), plans.web(F.col("t"), mode="snapshot", **both)]
+    row = df.select(*[c.alias(f"c{k}") for k, c in enumerate(made)]).first()
+    assert "error: bad" in row.c0.output and row.c0.compressed_size <= 29
+    assert all(_tokens(r.output.split("\n")) <= 90 for r in row)
