@@ -161,3 +161,19 @@ def test_join_boundary_any(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "boundary", lambda *a, x=limit: x)
         check_classes(rows(ngram_join.ngram_classes(spark, df, k=3, percent=70)), texts, 3, 70)
     assert rows(ngram_join.ngram_classes(spark, empty(spark))) == []
+
+
+def test_join_beside_a_long_word(spark):
+    copies = near_copies(6, 60, 4, 1, 100)
+    texts = [*copies, (200, copies[0][1]), (201, "x" * 2000 + " " + "y" * 3000), (202, "x" * 2000 + " " + "y" * 3000)]
+    rdd = spark.sparkContext.parallelize(texts[:4], 1).union(spark.sparkContext.parallelize(texts[4:6], 1)).union(spark.sparkContext.parallelize(texts[6:], 1))
+    df = spark.createDataFrame(rdd, "doc_id long, text string")
+    check_classes(rows(ngram_join.ngram_classes(spark, df, k=5, percent=60)), texts, 5, 60)
+
+
+def test_near_stage_beside_a_long_word(spark):
+    body = " ".join(f"w{i}" for i in range(80))
+    sc = spark.sparkContext
+    rdd = sc.parallelize([(1, body), (2, "z" * 2000)], 1).union(sc.parallelize([(3, body + " end")], 1))
+    left = ngram_join.drop_near_copies(spark, spark.createDataFrame(rdd, "doc_id long, text string"))
+    assert {r["doc_id"] for r in rows(left)} == {1, 2}
