@@ -3,6 +3,8 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
@@ -150,6 +152,20 @@ def test_quality(spark):
     assert rows(quality_classifier.score_quality(empty(spark), labels)) == []
 
 
+def test_quality_beside_a_long_word():
+    texts = ["Plain words, some MORE of them: 12 and 345.", "other text " * 9]
+    vectors = np.random.default_rng(1).normal(size=(quality_classifier.WORDS + quality_classifier.SHAPES, quality_classifier.DIM)).astype(np.float32)
+    net = quality_classifier.Network().fit(np.random.default_rng(2).normal(size=(40, 2 * quality_classifier.DIM + 70)), np.arange(40) % 2.0)
+    alone = list(quality_classifier.names(pa.array(texts)))
+    for long in ("x" * 2000, "aB1-" * 600):
+        beside = list(quality_classifier.names(pa.array([*texts, long])))
+        assert len(alone) == len(beside) == 1
+        mine = beside[0][2] < len(texts)
+        assert (beside[0][0][mine] == alone[0][0]).all() and (beside[0][1][mine] == alone[0][1]).all()
+        score = [net.predict(quality_classifier.pool(*x[0], vectors))[: len(texts)] for x in (alone, beside)]
+        assert np.allclose(*score, rtol=0, atol=1e-5)
+
+
 def brute_rule(url):
     rest = url.partition("://")[2] if url and "://" in url else ""
     host = rest
