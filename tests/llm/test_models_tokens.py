@@ -138,6 +138,21 @@ def test_language(spark):
     assert rows(language_id.predict(empty(spark))) == []
 
 
+def test_language_of_long_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    aside = [i for i in range(10**6, 10**6 + 200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    want, long = {}, []
+    for lang in sorted({r["lang"] for r in rows(docs.select("lang").distinct()) if r["lang"]}):
+        text = "\n".join(r["text"] for r in rows(docs.filter(docs["lang"] == lang).orderBy("doc_id")) if r["text"])
+        for size in (100_000, 500_000, 3_000_000):
+            i = aside.pop()
+            want[i] = lang
+            long.append((i, (text * (size // len(text) + 1))[:size], None))
+    more = spark.createDataFrame(long, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r["lang_pred"] for r in rows(language_id.predict(docs.unionByName(more))) if r["doc_id"] in want}
+    assert len(want) >= 12 and got == want
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     label = {r["doc_id"]: r["quality"] for r in rows(spark.read.parquet(f"{d}/labels.parquet"))}
