@@ -76,10 +76,11 @@ def _unpacked(rows: list[bytes]) -> np.ndarray:
     return out
 
 
-def sample_under(docs: DataFrame, rows: int, id_col: str) -> DataFrame:
-    """The rows whose id's hash is among the ``rows`` smallest; only hashes are sorted."""
+def sample_under(docs: DataFrame, rows: int, id_col: str, once: bool = False) -> DataFrame:
+    """The rows whose id's hash is among the ``rows`` smallest; only hashes are sorted.  once: a repeated id counts once."""
     h = F.xxhash64(F.col(id_col))
-    last = docs.select(h.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    hashes = docs.select(h.alias("h"))
+    last = (hashes.distinct() if once else hashes).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     return docs.filter(h <= F.lit(last)) if last is not None else docs.limit(0)
 
 
@@ -88,8 +89,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int =
     known = docs.filter(learned_fold(F.col(id_col))).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     )
-    known = sample_under(known.filter("text is not null and lang is not null"), rows, "id")
-    got = known.select("lang", "text").mapInArrow(_packed, "lang string, grams binary").orderBy("lang", "grams").limit(4 * rows).collect()
+    known = sample_under(known.filter("text is not null and lang is not null"), rows, "id", once=True)
+    # repeated ids may bring more rows than ids: a hash, not the language, says which are left out
+    got = known.select("lang", "text").mapInArrow(_packed, "lang string, grams binary").distinct().orderBy(F.xxhash64("lang", "grams"), "lang", "grams").limit(4 * rows).collect()
     if not got:
         return [], None, None
     x = _unpacked([bytes(r["grams"]) for r in got])

@@ -153,6 +153,16 @@ def test_language_of_long_texts(spark):
     assert len(want) >= 12 and got == want
 
 
+def test_language_with_repeated_ids(spark):
+    ids = [i for i in range(80) if zlib.crc32(str(i).encode()) % 4 != 2][:40]
+    order = [r["id"] for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id", "xxhash64(id) h").orderBy("h").collect()]
+    few = [(i, f"text {i} here", "zz" if k % 2 else "aa") for k, i in enumerate(order)]
+    for often in (order[0], order[10]):
+        for text in ("much repeated", "repeated {} times"):
+            df = spark.createDataFrame(few + [(often, text.format(k), "aa") for k in range(300)], "doc_id long, text string, lang string")
+            assert language_id.fit(df, "doc_id", "text", "lang", rows=20)[0] == ["aa", "zz"]
+
+
 def test_quality(spark):
     d = "/root/testdata/sf0.01"
     label = {r["doc_id"]: r["quality"] for r in rows(spark.read.parquet(f"{d}/labels.parquet"))}
