@@ -367,7 +367,8 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     floor = max(3, math.floor(SHARE * n_docs))
     common = heavy(1, floor, places / floor + 1)
     n_words = both.filter("kind = 4").agg(F.sum("n")).first()[0] or 0
-    names, counts = heavy(3, max(2, math.floor(WORD_SHARE * n_words)), 1 / WORD_SHARE + 1 if n_words > 1 / WORD_SHARE else n_words + 1)
+    least = max(2, math.floor(WORD_SHARE * n_words))
+    names, counts = heavy(3, least, n_words / least)
     weight = (2 * np.log2(np.maximum(1, counts / max(1.0, WORD_SHARE * n_words)))).astype(np.int64) + 1
     met = both.filter("kind = 2").agg(F.sum(F.col("sid") * F.lit(n_docs) / F.col("id")).alias("m"), F.sum("n").alias("n")).first()
     limit = boundary(sizes, (met["m"] or 0) / max(1, met["n"] or 0), percent)

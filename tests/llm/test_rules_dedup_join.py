@@ -177,3 +177,9 @@ def test_near_stage_beside_a_long_word(spark):
     rdd = sc.parallelize([(1, body), (2, "z" * 2000)], 1).union(sc.parallelize([(3, body + " end")], 1))
     left = ngram_join.drop_near_copies(spark, spark.createDataFrame(rdd, "doc_id long, text string"))
     assert {r["doc_id"] for r in rows(left)} == {1, 2}
+
+
+def test_join_even_vocabulary(spark):
+    text = " ".join(f"w{i}" for i in range(10_000))
+    texts = [(1, text), (2, text)]
+    check_classes(rows(ngram_join.ngram_classes(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))), texts, 5, 80)
