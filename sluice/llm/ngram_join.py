@@ -25,8 +25,10 @@ there on bound the overlap, if it is the first key in common) and a parity
 sketch (its distance never exceeds that of the sets) leave open.  Every comparison is of whole sets.
 
 Defined results.  Null or empty text, or text without words: n_shingles 0,
-linked with nothing, component its own id.  Null ids are kept and linked as
-the smallest id.  Repeated rows are one class.  Empty tables give empty results.
+linked with nothing, component its own id.  Null ids are kept, as the smallest
+id.  What is linked are classes of equal sets, known by a digest: different texts
+of one id are documents of their own.  Repeated rows are one class.  Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def _texts(batch: pa.RecordBatch) -> pa.Array:
 
 
 SKETCHES = [f"k{i}" for i in range(SKETCH)]
-PROFILE = "kind int, id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in SKETCHES) + ", wide binary"
+PROFILE = "kind int, id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in SKETCHES) + ", mark long, wide binary"
 
 
 def _sketch(s: np.ndarray, places: int) -> np.ndarray:
@@ -98,21 +100,21 @@ def _apart(a: bytes, b: bytes) -> int:
 def _profile(batches, k: int, share: float):
     """Rows of five kinds.
 
-    0: a document's id, set size n, two digests of the set, parity sketches.
+    0: a document's id, set size n, two digests of the set, parity sketches, the text's mark.
     1: a shingle (sid) common in a block, and its count n.  3: a word (sid)
     frequent in a block, and its count n.  2: a block's documents (id),
     shingles (n), and how many others of the block equal an uncommon one (sid).
     4: a block's words (n).
     """
     model()  # this worker may hold another operator's caches
-    width = 4 + SKETCH
+    width = 5 + SKETCH
     block, words, held, docs = [], [], 0, 0
 
     def rows(kind, *cols, wide=None):
         cols = [pa.array(c, pa.int64()) for c in cols]
         m = len(cols[0])
         cols += [pa.nulls(m, pa.int64())] * (width - len(cols)) + [pa.array(wide, pa.binary()) if wide else pa.nulls(m, pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *cols], ["kind", "id", "n", "sid", "sid2", *SKETCHES, "wide"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *cols], ["kind", "id", "n", "sid", "sid2", *SKETCHES, "mark", "wide"])
 
     def common():
         nonlocal block, words, held, docs
@@ -140,7 +142,7 @@ def _profile(batches, k: int, share: float):
             if held >= BLOCK:
                 yield from common()
         ids = b["id"].to_numpy(zero_copy_only=False)
-        yield rows(0, ids, n, one, two, *(np.array(sketches, np.int64).reshape(len(n), SKETCH).T.copy()), wide=wide)
+        yield rows(0, ids, n, one, two, *(np.array(sketches, np.int64).reshape(len(n), SKETCH).T.copy()), b["mark"].to_numpy(zero_copy_only=False), wide=wide)
     yield from common()
 
 
@@ -239,7 +241,7 @@ def _whole_sets(batches, k: int):
             part = b.slice(i, 500)
             sets = [_signed(s) for s in shingle_sets(_texts(part), k)]
             yield pa.RecordBatch.from_arrays(
-                [part["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "items"]
+                [pa.array([digest(s.view(U), 0) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "n", "items"]
             )
 
 
@@ -298,13 +300,16 @@ def _verified(spark: SparkSession, pairs: DataFrame, info: DataFrame, docs: Data
     some = written(spark, some.mapInArrow(partial(_near, percent=percent), "a long, b long"), "pairs")
     if some.isEmpty():
         return some
-    ends = some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id"))).distinct()
-    ends = written(spark, ends, "wanted")
-    if ends.count() <= BROADCAST_IDS:
-        whole = docs.join(F.broadcast(ends), "id", "left_semi")
+    ends = some.select(F.col("a").alias("rep")).unionByName(some.select(F.col("b").alias("rep"))).distinct()
+    ends = written(spark, ends.join(info.select("rep", "id"), "rep"), "wanted")
+    ids, wanted = ends.select("id").distinct(), ends.count()
+    if wanted <= BROADCAST_IDS:
+        whole = docs.join(F.broadcast(ids), "id", "left_semi")
     else:
-        whole = sift(docs, "id", bitmap(spark, ends, "id"))
+        whole = sift(docs, "id", bitmap(spark, ids, "id"))
     sets = written(spark, whole.mapInArrow(partial(_whole_sets, k=k), "rep long, n long, items array<long>"), "sets")
+    if sets.count() != wanted:  # several rows of one id
+        sets = written(spark, sets.join(ends.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
     full = some.join(side(sets, "a"), F.col("a") == F.col("a_rep")).join(side(sets, "b"), F.col("b") == F.col("b_rep"))
     full = full.withColumn("i", F.size(F.array_intersect("a_items", "b_items")))
     return full.filter(100 * F.col("i") >= percent * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b")
@@ -349,10 +354,15 @@ def _link(spark: SparkSession, members: DataFrame, info: DataFrame, docs: DataFr
     return merged(rest.select(F.least("x.rep", "u.rep").alias("a"), F.greatest("x.rep", "u.rep").alias("b")).distinct())
 
 
-def ngram_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id that links lead to, itself included)."""
+def _mark(text_col: str) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Per row: id (LOW for null), mark, n, label of the component (null without words), top (its smallest id)."""
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("id"), F.col(text_col).alias("text"))
-    both = written(spark, d.mapInArrow(partial(_profile, k=k, share=SHARE), PROFILE), "profile")
+    both = written(spark, d.withColumn("mark", _mark("text")).mapInArrow(partial(_profile, k=k, share=SHARE), PROFILE), "profile")
     rows = both.filter("kind = 0").drop("kind")
     sizes = {r["n"]: r["c"] for r in rows.groupBy("n").agg(F.count("*").alias("c")).collect()}  # one row a set size
     n_docs, places = sum(sizes.values()), sum(n * c for n, c in sizes.items())
@@ -374,26 +384,49 @@ def ngram_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     limit = boundary(sizes, (met["m"] or 0) / max(1, met["n"] or 0), percent)
     sent = spark.sparkContext.broadcast((common, (names, weight)))
 
-    classes = rows.filter("n > 0").groupBy("sid", "sid2", "n").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in SKETCHES])
+    classes = rows.filter("n > 0").groupBy("sid", "sid2", "n").agg(F.min("id").alias("id"), *[F.min(c).alias(c) for c in SKETCHES])
     classes = written(spark, classes, "classes")
     posted = written(spark, d.mapInArrow(partial(_postings, k=k, percent=percent, limit=limit, tables=sent), "key long, sid long, rest int"), "postings")
     shared = posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key")
     places_of = sift(posted, "key", bitmap(spark, written(spark, shared, "keys"), "key"))
     places_of = written(spark, places_of.distinct(), "places")
-    wide = rows.select(F.col("id").alias("rep"), "sid", "sid2", "wide")
-    info = places_of.select("sid").distinct().join(classes, "sid").join(wide, ["rep", "sid", "sid2"])
+    wide = rows.select("id", "sid", "sid2", "wide")
+    info = places_of.select("sid").distinct().join(classes, "sid").join(wide, ["id", "sid", "sid2"])
+    info = info.dropDuplicates(["sid"]).withColumn("rep", F.col("sid"))
     info = written(spark, info, "info")
     members = written(spark, places_of.join(info.select("sid", "rep", "n").distinct(), "sid").select("key", "rep", "n", "rest"), "members")
     labels = _link(spark, members, info, d, k, percent)
 
-    ends = classes.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("sid", "sid2", "n", F.coalesce("label", "rep").alias("top"))
+    ends = classes.join(labels, F.col("sid") == F.col("v"), "left").select("sid", "sid2", "n", "id", F.coalesce("label", "sid").alias("label"))
     ends = written(spark, ends, "ends")
-    out = rows.select("id", "n", "sid", "sid2").join(ends, ["sid", "sid2", "n"], "left").select("id", "n", F.coalesce("top", "id").alias("top"))
+    tops = ends.groupBy("label").agg(F.min("id").alias("top"), F.count("*").alias("c")).filter("c > 1").select("label", "top")
+    tops = written(spark, tops, "firsts")
+    side = F.broadcast(tops) if tops.count() <= BROADCAST_IDS else tops
+    ends = ends.join(side, "label", "left").select("sid", "sid2", "n", "label", F.coalesce("top", "id").alias("top"))
+    out = rows.select("id", "mark", "n", "sid", "sid2").join(ends, ["sid", "sid2", "n"], "left")
+    return out.select("id", "mark", "n", "label", F.coalesce("top", "id").alias("top"))
+
+
+def ngram_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id that links lead to, itself included)."""
+    out = _classes(spark, docs, id_col, text_col, k, percent)
     back = lambda c: F.nullif(F.col(c), F.lit(LOW))
     return out.select(back("id").alias(id_col), F.col("n").alias("n_shingles"), back("top").alias("component_id"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs with one document, that of the smallest id, of each component."""
-    classes = written(spark, ngram_classes(spark, docs, id_col, text_col, k, percent), "near")
-    return without(docs, id_col, classes.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col).distinct())
+    found = written(spark, _classes(spark, docs, id_col, text_col, k, percent), "near")
+    again = written(spark, found.groupBy("id").count().filter("count > 1").select("id"), "again")
+    gone = found.filter("id != top").select("id").distinct()
+    if again.isEmpty():
+        return without(docs, id_col, gone)
+    # Rows that share their id: what stays is told by the text as well, one row a component; texts without words all stay.
+    first = without(without(docs, id_col, again), id_col, gone)
+    stay = found.filter("n > 0 and id = top").groupBy("label", "id").agg(F.min("mark").alias("mark")).select("id", "mark", F.lit(True))
+    stay = stay.union(found.filter("n = 0").select("id", "mark", F.lit(False)).distinct()).toDF("sluice_id", "sluice_mark", "sluice_words")
+    some = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("sluice_id"), _mark(text_col).alias("sluice_mark"))
+    many = again.toDF("sluice_id")
+    some = some.join(F.broadcast(many) if many.count() <= BROADCAST_IDS else many, "sluice_id", "left_semi").join(stay, ["sluice_id", "sluice_mark"])
+    once = some.filter("sluice_words").dropDuplicates(["sluice_id", "sluice_mark"])
+    return first.unionByName(once.unionByName(some.filter("not sluice_words")).select(docs.columns))

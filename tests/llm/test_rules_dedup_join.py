@@ -183,3 +183,13 @@ def test_join_even_vocabulary(spark):
     text = " ".join(f"w{i}" for i in range(10_000))
     texts = [(1, text), (2, text)]
     check_classes(rows(ngram_join.ngram_classes(spark, spark.createDataFrame(texts, "doc_id long, text string").coalesce(1))), texts, 5, 80)
+
+
+def test_join_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    texts = [(1, a), (7, a + " end"), (7, b), (None, c), (None, a + " more"), (9, c + " end"), (None, ""), (8, "z"), (8, "z")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["n_shingles"]) for r in rows(ngram_join.ngram_classes(spark, df))}
+    assert got == {(1, None, 76), (7, None, 77), (7, 7, 76), (None, None, 76), (None, None, 77), (9, None, 77), (None, None, 0), (8, 8, 1)}
+    left = sorted(((r["doc_id"], r["text"]) for r in rows(ngram_join.drop_near_copies(spark, df))), key=str)
+    assert left == sorted([(7, b), (None, c), (None, a + " more"), (None, ""), (8, "z")], key=str)
