@@ -1,13 +1,21 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
-Each input partition makes a run: its digests in order, one entry for each
+Each partition of the input makes sorted runs of its digests: one entry for a
 digest with the count, the identifier that stays, and the text's length and a
-second hash as proof.  Runs are exchanged in binomial rounds: in round r, run
-p sends an entry to the run that differs from p in digit r only, and the entry's
-digest says which.  A run thus meets ``radix`` others a round, merges the
-sorted pieces it gets in one streaming pass, and after the last round each run
-owns one range of digests, merged.  A digest held by a third of all rows is one
-entry for each run from the first round on.
+second hash as proof.  The partitions then exchange runs in binomial rounds: in
+round r, partition p keeps the entries whose digest agrees with bit r of p and
+sends the others to partition p XOR 2**r.  What a partition holds after a round
+is one run again, merged from all runs that reached it; when every bit has had
+its round, each partition owns one share of the digests, each once.  With more
+than 2**ROUNDS partitions a round settles several bits at once, with as many
+more partners, so that no entry moves more than ROUNDS times.
+
+Runs travel as blocks of BLOCK sorted entries.  A merge takes blocks in the
+order of their first digests and holds, of each run, the part of one block that
+may still meet later digests: it streams, and no entry is ever sorted again
+after the first runs.  At every level entries of one digest must have one
+length and one second hash, and the identifier that stays is kept.  A digest
+held by a third of all rows is one entry a partition from the first level on.
 
 Defined results.  Null text counts as empty.  A null id is smaller than any
 other.  Of rows with the same id and text, exactly one stays.  An empty table
@@ -16,15 +24,24 @@ gives an empty result.
 
 from __future__ import annotations
 
+from functools import partial, reduce
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOW, lower_ascii, model, without, written
 
-RADIX_BITS = 4
-RUN = "run int, digest binary, check long, bytes long, n long, keep long, keep_row long"
+#: Digests that a first run is sorted from, and entries of a block.
+RUN_ROWS, BLOCK = 1 << 18, 1 << 14
+#: Bits of partitions that exchange runs at most; more input partitions make several first runs in one.
+MOST_BITS, ROUNDS = 14, 5
+ENTRY = np.dtype([("digest", "S32"), ("check", "i8"), ("bytes", "i8"), ("n", "i8"), ("keep", "i8"), ("keep_row", "i8")])
+BLOCKS = "to int, first binary, entries binary"
+GROUPS = "digest binary, n long, keep long, keep_row long"
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,70 +59,154 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _merge(batches, smallest: bool):
-    """Merge entries that come in the order of (run, digest): one entry for each key.
+def one_of_each(x: np.ndarray, smallest: bool) -> np.ndarray:
+    """Sorted entries -> one entry for each digest; those of a digest must be of one text."""
+    if len(x) < 2:
+        return x
+    new = np.ones(len(x), bool)
+    new[1:] = x["digest"][1:] != x["digest"][:-1]
+    start = np.flatnonzero(new)
+    if len(start) == len(x):
+        return x
+    group = np.cumsum(new) - 1
+    for c in ("check", "bytes"):
+        if (x[c] != x[c][start][group]).any():
+            raise ValueError("two texts have one SHA-256 digest")
+    best, none = (np.minimum, np.iinfo(np.int64).max) if smallest else (np.maximum, np.iinfo(np.int64).min)
+    out = x[start]
+    out["n"] = np.add.reduceat(x["n"], start)
+    out["keep"] = best.reduceat(x["keep"], start)
+    out["keep_row"] = best.reduceat(np.where(x["keep"] == out["keep"][group], x["keep_row"], none), start)
+    return out
 
-    The last key of a batch waits for the next batch.  Entries of a digest
-    whose length or second hash differ are not of one text: that is an error.
-    """
+
+def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two sorted arrays merged."""
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    out = np.empty(len(a) + len(b), ENTRY)
+    place = np.arange(len(b)) + np.searchsorted(np.ascontiguousarray(a["digest"]), np.ascontiguousarray(b["digest"]), "right")
+    rest = np.ones(len(out), bool)
+    rest[place] = False
+    out[place], out[rest] = b, a
+    return out
+
+
+def merged(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted arrays merged, two by two."""
+    while len(parts) > 1:
+        parts = [reduce(_two, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else np.empty(0, ENTRY)
+
+
+def merge_blocks(blocks, smallest: bool):
+    """Blocks in the order of their first digests -> sorted arrays with each digest once."""
+    held: list[np.ndarray] = []
+    for block in blocks:
+        at = [int(np.searchsorted(np.ascontiguousarray(h["digest"]), block["digest"][0])) for h in held]
+        ready = merged([h[:k] for h, k in zip(held, at) if k])
+        if len(ready):
+            yield one_of_each(ready, smallest)
+        held = [h[k:] for h, k in zip(held, at) if k < len(h)] + [block]
+    if held:
+        yield one_of_each(merged(held), smallest)
+
+
+def owner(x: np.ndarray) -> np.ndarray:
+    """The number in a digest's first bytes, whose bits say where the entry goes."""
+    return np.ascontiguousarray(x["digest"]).view(">u4")[::8].astype(np.int64)
+
+
+def _sent(arrays, here: int, bit: int, width: int):
+    """Rows of BLOCKS for sorted arrays of partition ``here``: ``width`` bits of the digest's number from ``bit`` on choose the partner."""
+    waiting: dict[int, list] = {}
+    mask = (1 << width) - 1 << bit
+
+    def row(to):
+        x = np.concatenate(waiting.pop(to))
+        return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([x["digest"][0].ljust(32, b"\0")]), pa.array([x.tobytes()])], ["to", "first", "entries"])
+
+    for x in arrays:
+        to = owner(x) & mask | here & ~mask
+        for t in np.unique(to).tolist():
+            mine = x[to == t]
+            for i in range(0, len(mine), BLOCK):
+                waiting.setdefault(t, []).append(mine[i : i + BLOCK])
+                if sum(map(len, waiting[t])) >= BLOCK:
+                    yield row(t)
+    for t in list(waiting):
+        yield row(t)
+
+
+def _first_runs(batches, bits: int, width: int, smallest: bool):
+    """The partition's digests as sorted runs, sent for round 0."""
     model()  # this worker may hold another operator's caches
-    held = None
-    names = [f.split()[0] for f in RUN.split(", ")]
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if held is not None:
-            t = pa.concat_tables([held, t])
-        if t.num_rows == 0:
-            continue
-        dig = np.frombuffer(b"".join(t["digest"].to_pylist()), dtype="S32")
-        run = t["run"].to_numpy()
-        new = np.ones(len(run), dtype=bool)
-        new[1:] = (run[1:] != run[:-1]) | (dig[1:] != dig[:-1])
-        start = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        cols = {c: t[c].to_numpy() for c in names if c != "digest"}
-        for c in ("check", "bytes"):
-            if (cols[c] != cols[c][start][group]).any():
-                raise ValueError("two texts have one SHA-256 digest")
-        order = np.lexsort((cols["keep_row"], cols["keep"], group))
-        at = order[start] if smallest else order[np.append(start[1:], len(run)) - 1]
-        out = pa.table(
-            {
-                "run": run[start],
-                "digest": t["digest"].take(pa.array(start)),
-                "check": cols["check"][start],
-                "bytes": cols["bytes"][start],
-                "n": np.add.reduceat(cols["n"], start),
-                "keep": cols["keep"][at],
-                "keep_row": cols["keep_row"][at],
-            }
-        ).cast(batch.schema)
-        held = out.slice(out.num_rows - 1)
-        yield from out.slice(0, out.num_rows - 1).to_batches()
-    if held is not None:
-        yield from held.to_batches()
-
-
-def merge_runs(spark: SparkSession, entries: DataFrame, smallest: bool = False, radix_bits: int = RADIX_BITS, rounds: int = 0) -> DataFrame:
-    """All runs merged: one entry for each digest.  rounds: enough for a run a partition, if not given."""
-    radix, parts = 1 << radix_bits, entries.rdd.getNumPartitions()
-    while not rounds or (rounds < 4 and radix**rounds < parts):
-        rounds += 1
-    runs = radix**rounds
-    bucket = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long") % runs
-
-    def merged(df: DataFrame) -> DataFrame:
-        ordered = df.sortWithinPartitions("run", "digest")
-        return ordered.mapInArrow(lambda b: _merge(b, smallest), RUN)
-
-    run = F.pmod(F.spark_partition_id(), F.lit(runs))
-    out = merged(entries.withColumn("run", run.cast("int")).selectExpr(*[f.split()[0] for f in RUN.split(", ")]))
-    for r in range(rounds):
-        unit = radix**r
-        digit = lambda c: F.floor(c / unit) % radix  # noqa: E731,B023
-        to = F.col("run") + (digit(bucket) - digit(F.col("run"))) * unit
-        # as many tasks as runs: the piece a task gets is that of its own run
-        out = merged(out.withColumn("run", to.cast("int")).repartition(runs, "run"))
+    here, parts, rows = TaskContext.get().partitionId() % (1 << bits), [], 0
+
+    def run():
+        x = np.concatenate(parts)
+        return _sent([one_of_each(x[np.argsort(x["digest"], kind="stable")], smallest)], here, 0, width)
+
+    for b in batches:
+        if b.num_rows:
+            x = np.empty(b.num_rows, ENTRY)
+            x["digest"] = np.frombuffer(b"".join(b["digest"].to_pylist()), "S32")
+            x["n"] = 1
+            for c in ("check", "bytes", "keep", "keep_row"):
+                x[c] = b[c].to_numpy()
+            parts.append(x)
+            rows += len(x)
+        if rows >= RUN_ROWS:
+            yield from run()
+            parts, rows = [], 0
+    if parts:
+        yield from run()
+
+
+def _arrived(batches, at: set):
+    """The blocks that reached one partition; its number goes into ``at``."""
+    for b in batches:
+        at.update(b["to"].to_pylist())
+        if len(at) > 1:
+            raise ValueError("runs of several partitions in one task")
+        for x in b["entries"]:
+            yield np.frombuffer(x.as_py(), ENTRY)
+
+
+def _round(batches, bit: int, width: int, smallest: bool):
+    """What reached this partition, merged and sent on by the next bits."""
+    model()
+    at: set = set()
+    arrays = merge_blocks(_arrived(batches, at), smallest)
+    first = next(arrays, None)
+    if first is not None:
+        yield from _sent(chain([first], arrays), *at, bit, width)
+
+
+def _groups(batches, smallest: bool):
+    model()
+    for x in merge_blocks(_arrived(batches, set()), smallest):
+        flat = np.ascontiguousarray(x["digest"]).view("u1").tobytes()
+        digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(x), [None, pa.py_buffer(flat)]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([digest, *[pa.array(np.ascontiguousarray(x[c])) for c in ("n", "keep", "keep_row")]], ["digest", "n", "keep", "keep_row"])
+
+
+def rounds_for(parts: int) -> tuple[int, int]:
+    """(bits, width): 2**bits partitions for so many of the input, and the bits that a round settles."""
+    bits = max(1, min(MOST_BITS, (parts - 1).bit_length()))
+    return bits, -(-bits // ROUNDS)
+
+
+def merge_runs(spark: SparkSession, entries: DataFrame, smallest: bool = False, bits: int = 0, width: int = 0) -> DataFrame:
+    """GROUPS: one row for each digest of entries (digest, check, bytes, keep, keep_row).  bits, width: by the partitions, if not given."""
+    if not bits:
+        bits, width = rounds_for(entries.rdd.getNumPartitions())
+    step = lambda f, r: partial(f, width=min(width, bits - r), smallest=smallest)
+    out = entries.select("digest", "check", "bytes", "keep", "keep_row").mapInArrow(partial(step(_first_runs, 0), bits=bits), BLOCKS)
+    for r in range(width, bits + width, width):
+        # the partition's number is the run's: each task gets what was sent to its own run, heads of blocks in order
+        out = out.repartitionById(1 << bits, "to").sortWithinPartitions("first")
+        out = out.mapInArrow(partial(step(_round, r), bit=r), BLOCKS) if r < bits else out.mapInArrow(partial(_groups, smallest=smallest), GROUPS)
     return out
 
 
@@ -119,10 +220,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     low = LOW
     rows = written(spark, digests(docs, id_col, text_col), "digests")
     entries = rows.select(
-        "digest", "check", "bytes", F.lit(1).cast("long").alias("n"),
-        F.coalesce("id", F.lit(low)).alias("keep"), F.col("row").alias("keep_row"),
-    )
-    groups = written(spark, merge_runs(spark, entries, keep == "min"), "groups").select("digest", "n", "keep", "keep_row")
+        "digest", "check", "bytes", F.coalesce("id", F.lit(low)).alias("keep"), F.col("row").alias("keep_row")
+    )
+    groups = written(spark, merge_runs(spark, entries, keep == "min"), "groups")
     total = rows.count()
     hot = F.col("n") * 1024 >= F.lit(total)
     big = F.broadcast(groups.filter(hot).select("digest", F.struct("n", "keep", "keep_row").alias("g")))

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sluice.llm import exact_dedup, ngram_join, quality_rules
@@ -91,13 +92,66 @@ def test_dedup_awkward(spark, keep):
     assert rows(exact_dedup.exact_dedup(spark, empty(spark))) == []
 
 
-def test_merge_in_rounds(spark):
+def entries_of(df):
+    return exact_dedup.digests(df, "doc_id", "text").selectExpr("digest", "check", "bytes", "coalesce(id, -1) keep", "row keep_row")
+
+
+@pytest.mark.parametrize("smallest", [False, True])
+def test_merge_in_rounds(spark, monkeypatch, smallest):
     df, texts = awkward(spark, [(1000 + i, f"text {i % 37}") for i in range(400)])
-    e = exact_dedup.digests(df.repartition(11), "doc_id", "text").selectExpr("digest", "check", "bytes", "1L n", "coalesce(id, -1) keep", "row keep_row")
-    for bits, rounds in ((1, 4), (2, 3), (4, 1)):
-        got = rows(exact_dedup.merge_runs(spark, e, radix_bits=bits, rounds=rounds))
-        assert len(got) == len({(t or "").translate(LOWER) for _, t in texts})
-        assert sum(r["n"] for r in got) == len(texts)
+    want = {}
+    for i, t in texts:
+        want.setdefault(hashlib.sha256((t or "").translate(LOWER).encode()).digest(), []).append(-1 if i is None else i)
+    want = {d: (len(v), (min if smallest else max)(v)) for d, v in want.items()}
+    monkeypatch.setattr(exact_dedup, "BLOCK", 8)
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 20)
+    for bits, width in ((1, 1), (4, 1), (4, 3), (6, 2)):
+        merged = exact_dedup.merge_runs(spark, entries_of(df.repartition(11)), smallest, bits, width)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") - 1 == -(-bits // width)  # one more for this test's own
+        assert merged.rdd.getNumPartitions() == 1 << bits
+        got = merged.selectExpr("*", "spark_partition_id() p").collect()
+        assert {bytes(r["digest"]): (r["n"], r["keep"]) for r in got} == want and len(got) == len(want)
+        assert all(r["p"] == int.from_bytes(r["digest"][:4], "big") % (1 << bits) for r in got)  # a run a task
+
+
+def test_rounds():
+    for parts in (1, 2, 3, 32, 33, 1000, 5000, 10**6):
+        bits, width = exact_dedup.rounds_for(parts)
+        assert 1 << bits >= min(parts, 1 << exact_dedup.MOST_BITS) and -(-bits // width) <= exact_dedup.ROUNDS
+    assert exact_dedup.rounds_for(32) == (5, 1)
+
+
+def sorted_entries(rnd, n, kinds):
+    x = np.zeros(n, exact_dedup.ENTRY)
+    x["digest"] = [hashlib.sha256(b"%d" % rnd.randrange(kinds)).digest()[:31] + b"\0" * rnd.randrange(1, 2) for _ in range(n)]
+    x["n"], x["keep"], x["keep_row"] = 1, rnd.choices(range(50), k=n), rnd.choices(range(50), k=n)
+    return x[np.argsort(x["digest"], kind="stable")]
+
+
+def test_merge_streams():
+    rnd = random.Random(8)
+    for _ in range(20):
+        runs = [sorted_entries(rnd, rnd.randrange(1, 300), 200) for _ in range(rnd.randrange(1, 6))]
+        blocks = sorted((r[i : i + 16] for r in runs for i in range(0, len(r), 16)), key=lambda b: b["digest"][0].ljust(32, b"\0"))
+        most, out = 0, []
+        for x in exact_dedup.merge_blocks(iter(blocks), smallest=False):
+            most = max(most, len(x))
+            out.append(x)
+        got = np.concatenate(out)
+        assert (got["digest"][1:] > got["digest"][:-1]).all() and most <= 16 * (len(runs) + 1)
+        every = np.concatenate(runs)
+        for g in got:
+            mine = every[every["digest"] == g["digest"]]
+            best = max(zip(mine["keep"], mine["keep_row"]))
+            assert (g["n"], g["keep"], g["keep_row"]) == (len(mine), *best)
+
+
+def test_one_digest_of_two_texts():
+    x = np.zeros(2, exact_dedup.ENTRY)
+    x["bytes"] = 1, 2
+    with pytest.raises(ValueError, match="one SHA-256"):
+        exact_dedup.one_of_each(x, False)
 
 
 def brute_classes(texts, k, percent):
