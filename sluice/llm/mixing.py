@@ -4,9 +4,10 @@ The corpus is a tree: domain, language, source.  A budget of tokens flows down
 from the root; at each node the children share it by their weights, a child
 never gets more than its subtree can give (its tokens times MAX_EPOCHS), and
 what it can't take goes to its siblings by weight before the node passes any
-shortage up.  At each level this is one window: with children in the order of
-capacity / weight, the level at which the budget is used up is the largest of
-(budget - capacities before) / (weights from here on).
+shortage up.  With children in the order of capacity / weight, the level at
+which the budget is used up is the largest of (budget - capacities before) /
+(weights from here on); running sums go over bins of that ratio first and then
+within each bin, so a node with millions of children is worked on by many tasks.
 
 A leaf with budget b and a tokens gives floor(b / a) whole epochs and, of the
 next epoch, the documents of the longest prefix with at most b mod a tokens,
@@ -17,12 +18,17 @@ is summed up and cut by many tasks.
 Tokens are words.  Defined results: null domain, language or source are values
 like others (``und``, ``none``).  Weights not named take the default; weight 0
 excludes a subtree.  A text without words costs nothing and goes with the
-prefix it falls in; a leaf without any word gives nothing.  Rows of equal id
-are ordered arbitrarily among themselves.  Empty tables give empty results.
+prefix it falls in, but an epoch that gets no token gives none; a leaf without
+any word gives nothing.  No row is given more than MAX_EPOCHS times.  Rows that
+share their id are ordered by their text's hash; those of equal id, text,
+language and source are copies of one row: which of them is given is arbitrary,
+how many are is not.  Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,8 +38,8 @@ from .common import BROADCAST_IDS, LOW, SPACE_RE, SPACES, written
 
 #: Rows that a bucket of a leaf with all documents would hold; from that the number of buckets.
 BUCKET_ROWS = 2_000
-#: Each leaf's row is found under so many keys, so that no task joins a whole hot leaf.
-SALTS = 64
+#: Leaves with at least this share of the rows are joined by broadcast: at most 1 / HOT of them.
+HOT = 1 / 1024
 
 
 @dataclass(frozen=True)
@@ -49,7 +55,9 @@ class Mix:
 
 
 def domain_of(source: Column) -> Column:
-    """Sources are numbered: 0 to 7 are web crawls, 8 to 13 books, higher ones forums."""
+    """The default mapping of sources to domains, for tables whose sources are numbered: a parameter of the operator.
+
+    Sources are numbered: 0 to 7 are web crawls, 8 to 13 books, higher ones forums."""
     n = F.regexp_extract(F.coalesce(source, F.lit("")), r"(\d{1,6})$", 1)
     return F.when(n == "", "other").when(n.cast("int") < 8, "web").when(n.cast("int") < 14, "books").otherwise("forums")
 
@@ -62,16 +70,33 @@ def _weight(level: dict, col: Column) -> Column:
     return out
 
 
-def _fill(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
-    """nodes (parent.., key, w, cap, budget of the parent) -> their own budget, ``got``."""
-    order = Window.partitionBy(*parent).orderBy(F.col("cap") / F.col("w"), key)
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return (
-        nodes.withColumn("level", (F.col("budget") - before) / rest)
-        .withColumn("level", F.max("level").over(Window.partitionBy(*parent)))
-        .withColumn("got", F.greatest(F.lit(0.0), F.least("cap", F.col("w") * F.col("level"))))
-    )
+#: Bins of capacity / weight an octave, in which running sums are taken first.
+BINS = 64
+
+
+def _sum(col: str, window, start: int, end: int) -> Column:
+    return F.coalesce(F.sum(col).over(window.rowsBetween(start, end)), F.lit(0.0))
+
+
+def _fill(nodes: DataFrame, parent: list[str], key: str, parents: int) -> DataFrame:
+    """nodes (parent.., key, w, cap, budget of the parent) -> their own budget, ``got``.  parents: at most so many."""
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    ratio = F.col("cap") / F.col("w")
+    nodes = nodes.withColumn("bin", F.floor(F.log2(ratio) * BINS).cast("int"))
+    # a row for each bin that a parent's children fall in: doubles have some 2,000 octaves
+    over = Window.partitionBy(*parent).orderBy("bin")
+    bins = nodes.groupBy(*parent, "bin").agg(F.sum("cap").alias("c"), F.sum("w").alias("v"))
+    bins = bins.select(*parent, "bin", _sum("c", over, first, -1).alias("before"), _sum("v", over, 1, last).alias("after"))
+    inside = Window.partitionBy(*parent, "bin").orderBy(ratio, key)
+    level = (F.col("budget") - F.col("before") - _sum("cap", inside, first, -1)) / (_sum("w", inside, 0, last) + F.col("after"))
+    levels = nodes.join(bins, [*parent, "bin"]).withColumn("l", level).groupBy(*parent).agg(F.max("l").alias("level"))
+    got = F.greatest(F.lit(0.0), F.least("cap", F.col("w") * F.col("level")))
+    return _with(nodes.drop("bin"), levels, parent, parents).withColumn("got", got).drop("level")
+
+
+def _with(rows: DataFrame, nodes: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """rows with the columns of their node; nodes, n at most, are broadcast if they are few, else joined by shuffle."""
+    return rows.join(F.broadcast(nodes) if n <= BROADCAST_IDS else nodes, keys)
 
 
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
@@ -84,14 +109,15 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
             "cap3": (F.col("a") * mix.max_epochs).cast("double"),
         }
     ).filter("w1 > 0 and w2 > 0 and w3 > 0 and a > 0")
-    total = leaves.agg((F.floor(F.coalesce(F.sum("a"), F.lit(0)) * F.lit(mix.share))).cast("double").alias("budget"))
+    told = leaves.agg(F.sum("a").alias("a"), F.count_distinct("domain", "lang").alias("n")).first()
+    n, budget = told["n"], float(math.floor((told["a"] or 0) * mix.share))
     langs = weighed.groupBy("domain", "lang").agg(F.sum("cap3").alias("cap"), F.first("w2").alias("w"), F.first("w1").alias("w1"))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.first("w1").alias("w"))
-    # one row a domain and one total: the root's children
-    top = _fill(domains.withColumn("root", F.lit(0)).join(F.broadcast(total.withColumn("root", F.lit(0))), "root"), ["root"], "domain")
-    mid = _fill(langs.join(top.select("domain", F.col("got").alias("budget")), "domain"), ["domain"], "lang")
+    top = _fill(domains.withColumns({"root": F.lit(0), "budget": F.lit(budget)}), ["root"], "domain", 1)
+    mid = _fill(_with(langs.drop("w1"), top.select("domain", F.col("got").alias("budget")), ["domain"], n), ["domain"], "lang", n)
     low = weighed.select("domain", "lang", "source", "a", F.col("w3").alias("w"), F.col("cap3").alias("cap"))
-    low = _fill(low.join(mid.select("domain", "lang", F.col("got").alias("budget")), ["domain", "lang"]), ["domain", "lang"], "source")
+    low = _with(low, written(low.sparkSession, mid.select("domain", "lang", F.col("got").alias("budget")), "budgets"), ["domain", "lang"], n)
+    low = _fill(low, ["domain", "lang"], "source", n)
     return low.select("domain", "lang", "source", "a", "got")
 
 
@@ -100,42 +126,72 @@ def tokens_of(text: Column) -> Column:
     return F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE_RE))).cast("long")
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Per row: id, domain, lang, source, tokens, copies (how many epochs give it; 0: none)."""
+def _chosen(spark: SparkSession, docs: DataFrame, mix: Mix, id_col: str, text_col: str, lang_col: str, source_col: str, domain: Callable) -> DataFrame:
+    """Per row: id, mark (of its text, language and source), domain, lang, source, tokens, copies."""
     rows = docs.select(
         F.col(id_col).alias("id"),
-        domain_of(F.col(source_col)).alias("domain"),
+        F.xxhash64(F.col(text_col), F.col(lang_col), F.col(source_col)).alias("mark"),
+        domain(F.col(source_col)).alias("domain"),
         F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
         F.coalesce(F.col(source_col), F.lit("none")).alias("source"),
         tokens_of(F.col(text_col)).alias("tokens"),
     )
     rows = written(spark, rows, "tokens")
     leaf = ["domain", "lang", "source"]
-    plan = budgets(rows.groupBy(*leaf).agg(F.sum("tokens").alias("a")), mix)
+    leaves = written(spark, rows.groupBy(*leaf).agg(F.sum("tokens").alias("a"), F.count("*").alias("rows")), "leaves")
+    total = leaves.agg(F.sum("rows").alias("n")).first()["n"] or 0
     b = F.floor("got").cast("long")
-    plan = plan.select(*leaf, F.floor(b / F.col("a")).cast("int").alias("whole"), (b % F.col("a")).alias("left"))
-    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "tokens"), F.lit(SALTS)).cast("int"))
-    placed = salted.join(plan, [*leaf, "salt"], "left").drop("salt").withColumn("h", F.xxhash64(F.lit(mix.seed), "whole", "id"))
-    bits = max(4, min(20, (rows.count() // BUCKET_ROWS).bit_length()))
+    plan = budgets(leaves, mix).select(*leaf, F.floor(b / F.col("a")).cast("int").alias("whole"), (b % F.col("a")).alias("left"))
+    plan = leaves.select(*leaf, "rows").join(plan, leaf, "left")
+    plan = written(spark, plan.select(*leaf, "rows", F.struct("whole", "left").alias("p")), "plan")
+    if plan.count() <= BROADCAST_IDS:
+        placed = rows.join(F.broadcast(plan.drop("rows")), leaf)
+    else:
+        hot = F.col("rows") >= F.lit(total * HOT)
+        first = rows.join(F.broadcast(plan.filter(hot).drop("rows")), leaf, "left")
+        placed = first.filter("p is not null").unionByName(first.filter("p is null").drop("p").join(plan.filter(~hot).drop("rows"), leaf))
+    placed = placed.select("*", "p.*").drop("p")
+    placed = placed.withColumn("h", F.xxhash64(F.lit(mix.seed), "whole", "id"))
+    bits = max(4, min(20, (total // BUCKET_ROWS).bit_length()))
     placed = placed.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
     placed = written(spark, placed, "placed")
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("t").over(upto), F.lit(0))).drop("t")
-    inside = Window.partitionBy(*leaf, "bucket").orderBy(F.shiftleft("h", bits), "id")
+    inside = Window.partitionBy(*leaf, "bucket").orderBy("h", "id", "mark")
     end = F.col("before") + F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = placed.join(sums, [*leaf, "bucket"]).withColumn("end", end)
-    copies = F.coalesce(F.col("whole") + (F.col("end") <= F.col("left")).cast("int"), F.lit(0))
-    return chosen.select(F.col("id").alias(id_col), "domain", "lang", "source", "tokens", copies.alias("copies"))
-
-
-def mixed_documents(spark: SparkSession, docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", **cols: str) -> DataFrame:
-    """The rows of docs, each as often as epochs give it (rows of one id alike: as often as the most given of them)."""
-    chosen = mix_sources(spark, docs, mix, id_col, **cols).filter("copies > 0")
-    chosen = chosen.groupBy(F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("sluice_id")).agg(F.max("copies").alias("sluice_copies"))
-    chosen = written(spark, chosen, "chosen")
-    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen.hint("shuffle_hash")
-    out = docs.join(side, F.coalesce(docs[id_col].cast("long"), F.lit(LOW)) == F.col("sluice_id"))
-    out = out.withColumn("sluice_nth", F.explode(F.sequence(F.lit(1), F.col("sluice_copies"))))
-    return out.select(*[docs[c] for c in docs.columns])
+    more = (F.col("left") > 0) & (F.col("end") <= F.col("left")) & (F.col("whole") < mix.max_epochs)
+    copies = F.coalesce(F.least(F.col("whole"), F.lit(mix.max_epochs)) + more.cast("int"), F.lit(0))
+    return chosen.select("id", "mark", *leaf, "tokens", copies.alias("copies"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """Per row: id, domain, lang, source, tokens, copies (how many epochs give it; 0: none).  domain: source -> domain."""
+    chosen = _chosen(spark, docs, mix, id_col, text_col, lang_col, source_col, domain)
+    return chosen.select(F.col("id").alias(id_col), "domain", "lang", "source", "tokens", "copies")
+
+
+def mixed_documents(spark: SparkSession, docs: DataFrame, mix: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """The rows of docs, each as often as epochs give it.
+
+    Of rows with equal id, text, language and source one stands for all: it is given as often as they are together.
+    """
+    chosen = written(spark, _chosen(spark, docs, mix, id_col, text_col, lang_col, source_col, domain), "copies")
+    low = F.coalesce(F.col("id").cast("long"), F.lit(LOW)).alias("sluice_id")
+    ids = chosen.groupBy(low).agg(F.count("*").alias("n"), F.sum("copies").alias("sluice_copies"))
+    ids = written(spark, ids, "chosen")
+    docs = docs.withColumn("sluice_id", F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)))
+    cols = [c for c in docs.columns if c != "sluice_id"]
+    side = lambda t, n: F.broadcast(t) if n <= BROADCAST_IDS else t.hint("shuffle_hash")
+    once = ids.filter("n = 1 and sluice_copies > 0").drop("n")
+    out = docs.join(side(once, once.count()), "sluice_id")
+    again = ids.filter("n > 1 and sluice_copies > 0").select("sluice_id")
+    if (n := again.count()) > 0:
+        # Rows that share their id are told apart by their marks.  A mark's rows are dropped to one, so none is a hot key.
+        marks = chosen.select(low, F.col("mark").alias("sluice_mark"), "copies").join(side(again, n), "sluice_id")
+        marks = marks.groupBy("sluice_id", "sluice_mark").agg(F.sum("copies").alias("sluice_copies")).filter("sluice_copies > 0")
+        some = docs.join(side(again, n), "sluice_id").withColumn("sluice_mark", F.xxhash64(F.col(text_col), F.col(lang_col), F.col(source_col)))
+        some = some.dropDuplicates(["sluice_id", "sluice_mark"]).join(marks, ["sluice_id", "sluice_mark"]).drop("sluice_mark")
+        out = out.unionByName(some)
+    return out.withColumn("sluice_nth", F.explode(F.sequence(F.lit(1), F.col("sluice_copies").cast("int")))).select(*cols)
