@@ -1,11 +1,18 @@
 """Token counts of a piece model: rank-synchronous merging on ragged arrays.
 
-A text, with spaces as the model writes them and one put before it, is cut
-between characters that no piece of the vocabulary joins.  The pre-tokens of a
-batch that are new are held together as one ragged array of symbols; in each
-step every sequence applies its lowest-rank pair (the leftmost, if it has it
-twice), all at once, and sequences without a pair leave.  What survives is
-counted; a character that the vocabulary lacks counts its UTF-8 bytes.
+A text, with spaces as the model writes them and one put before it, is cut at
+spaces, and long words also between characters that stand side by side in no
+piece.  The pre-tokens of a batch that are new are held together as one ragged
+array of symbols; in each step every sequence applies its lowest-rank pair (the
+leftmost, if it has it twice), all at once, and sequences without a pair leave.
+What survives is counted; a character that the vocabulary lacks counts its
+UTF-8 bytes.
+
+A sequence of more than LONG symbols would take as many steps as it has merges.
+It is merged alone, rank by rank: a step applies all places of its lowest rank
+from the left on, up to the first whose merge makes a pair of no higher rank
+(that one's turn comes before the places to the right), and only the pairs
+beside the merged places are looked up again.
 
 Defined results.  Null text counts as empty: 0 bytes, 0 tokens.  Null ids are
 passed through, repeated rows counted alike; empty tables give empty results.
@@ -13,6 +20,7 @@ passed through, repeated rows counted alike; empty tables give empty results.
 
 from __future__ import annotations
 
+import heapq
 from functools import partial
 
 import numpy as np
@@ -24,9 +32,13 @@ from pyspark.sql import functions as F
 from .common import model
 
 SPACE = "▁"
+#: The rank of a pair that makes no piece.
+NONE = 1 << 40
 LIMIT = 4096
-#: Pre-tokens whose counts a worker keeps at most.
-KEPT = 300_000
+#: Pre-tokens whose counts a worker keeps at most, and their greatest length.
+KEPT, KEPT_LENGTH = 300_000, 64
+#: Symbols of a sequence that is merged alone, and characters of a word that is cut between unjoined characters.
+LONG = 200
 
 
 class Pieces:
@@ -66,14 +78,95 @@ class Pieces:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.cut = regex.compile(rf"(?s).+" if inner else rf"(?s){SPACE}*[^{SPACE}]+|{SPACE}+")
 
+        #: characters that stand side by side in a piece
+        self.joined = np.unique(np.array([ord(a) << 32 | ord(b) for p in self.id for a, b in zip(p, p[1:])], np.int64))
+
     def pre_tokens(self, text: str) -> list[str]:
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        words = self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if max(map(len, words), default=0) > LONG:
+            words = [x for w in words for x in (self._apart(w) if len(w) > LONG else (w,))]
+        return words
+
+    def _apart(self, word: str) -> list[str]:
+        c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        cuts = np.flatnonzero(~np.isin(c[:-1] << 32 | c[1:], self.joined)) + 1
+        return [word[i:j] for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(word)])]
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, or NONE; symbol made) of each pair of symbols."""
+        pair = a * (self.missing + 1) + b
+        at = np.searchsorted(self.pairs, pair)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == pair, self.ranks[at], NONE), self.made[at]
+
+    def count_long(self, token: str) -> int:
+        """Tokens of one long sequence."""
+        n = len(token)
+        sym = np.fromiter((self.symbol.get(c, self.missing) for c in token), np.int64, n)
+        cost = np.fromiter((1 if c in self.known else len(c.encode()) for c in token), np.int64, n)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # the symbols beside each; n and -1: none
+        rank, made = np.full(n, NONE), np.zeros(n, np.int64)  # of each symbol with the one after it
+        rank[:-1], made[:-1] = self._pairs(sym[:-1], sym[1:])
+        places: dict[int, list] = {}
+        order = np.argsort(rank, kind="stable")
+        cuts = np.flatnonzero(np.diff(rank[order], prepend=-1))
+        for at in np.split(order, cuts[1:]):
+            if len(at) and rank[at[0]] < NONE:
+                places[int(rank[at[0]])] = [at]
+        queue = sorted(places)
+        while queue:
+            r = heapq.heappop(queue)
+            every = np.unique(np.concatenate(places.pop(r)))
+            every = every[rank[every] == r]
+            if not len(every):
+                continue
+            # of places that overlap, every other one from the left
+            nth = np.arange(len(every))
+            tied = np.zeros(len(every), bool)
+            tied[1:] = after[every[:-1]] == every[1:]
+            at = every[(nth - np.maximum.accumulate(np.where(tied, 0, nth))) % 2 == 0]
+            # what each makes with its neighbours, as they are when the merges to its left are done
+            right, new = after[at], made[at]
+            left, far = before[at], after[right]
+            beside = sym[np.maximum(left, 0)]
+            close = np.zeros(len(at), bool)
+            close[1:] = far[:-1] == at[1:]
+            beside[1:] = np.where(close[1:], new[:-1], beside[1:])
+            low = np.where(left >= 0, self._pairs(beside, new)[0], NONE)
+            low = np.minimum(low, np.where(far < n, self._pairs(new, sym[np.minimum(far, n - 1)])[0], NONE))
+            early = np.flatnonzero(low <= r)
+            if len(early):
+                some = slice(int(early[0]) + 1)
+                at, right, new, far = at[some], right[some], new[some], far[some]
+            sym[at], cost[at], cost[right], rank[right] = new, 1, 0, NONE
+            after[at] = far
+            before[far[far < n]] = at[far < n]
+            # each merged symbol and the one before it have a new symbol after them
+            look = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            end = after[look] >= n
+            rank[look[end]] = NONE
+            look = look[~end]
+            rank[look], made[look] = self._pairs(sym[look], sym[after[look]])
+            if len(early):
+                look = np.concatenate([look, every])
+            for q in np.unique(rank[look]).tolist():
+                if q < NONE:
+                    if q not in places:
+                        heapq.heappush(queue, q)
+                    places.setdefault(q, []).append(look[rank[look] == q])
+        return int(cost.sum())
 
     def count(self, tokens: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         out = np.zeros(len(tokens), np.int64)
         if not tokens:
             return out
+        long = [i for i, t in enumerate(tokens) if len(t) > LONG]
+        if long:
+            out[long] = [self.count_long(tokens[i]) for i in long]
+            short = [i for i, t in enumerate(tokens) if len(t) <= LONG]
+            out[short] = self.count([tokens[i] for i in short])
+            return out
         get, base = self.symbol.get, self.missing + 1
         lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
         sym = np.fromiter((get(c, self.missing) for t in tokens for c in t), np.int64, int(lens.sum()))
@@ -129,6 +222,9 @@ def _count(batches, sent):
             for j in range(0, len(new), 20_000):
                 seen.update(zip(new[j : j + 20_000], p.count(new[j : j + 20_000]).tolist()))
             n = [sum(map(seen.__getitem__, ws)) for ws in lists]
+            for w in new:
+                if len(w) > KEPT_LENGTH:
+                    del seen[w]
             yield pa.RecordBatch.from_arrays([part["id"], part["n_bytes"], pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
 
