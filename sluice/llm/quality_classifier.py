@@ -9,7 +9,9 @@ all its words, with its share of frequent shapes; a two-layer network learns
 the label from that, and a temperature fitted on rows kept aside calibrates its
 probabilities.
 
-The sample holds at most TRAIN_ROWS labelled documents of the learning fold.
+The sample holds at most TRAIN_ROWS labelled ids of the learning fold and 2 *
+TRAIN_ROWS different texts of them; its word vectors are summed by PARTS tasks
+and the driver gets these sums and, of each text, its counts of names.
 Defined results: a text without words scores as the zero vector; without two
 kinds of labels the score is the label's mean (0.5 without any).  A document
 with labels of both kinds is learned as each.  Null ids are passed through,
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learned_fold
+from .common import learned_fold, written
 from .language_id import sample_under
 from .shingles import _LOWER, U, buffers, span_hashes, word_spans
 
@@ -35,6 +37,8 @@ DIM, NONZERO = 48, 4
 HIDDEN, EPOCHS, RATE = 24, 60, 0.01
 WINDOW = 2
 THRESHOLD = 0.7
+#: Texts whose counts are made at once, tasks that sum up word vectors.
+ROWS, PARTS = 256, 8
 #: Byte classes of shapes: lower case and bytes of other alphabets 1, upper case 2, digits 3, others themselves.
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = 1
@@ -45,16 +49,17 @@ _CLASS[128:] = 1
 
 def names(texts: pa.Array):
     """Chunk by chunk: (word names, shape names, text of each word, texts)."""
-    for i, j, data, off in buffers(texts):
-        starts, ends, owner, solid = word_spans(data, off)
-        word = span_hashes(_LOWER[data[solid]], ends - starts) % U(WORDS)
-        kind = _CLASS[data]
-        new = solid.copy()
-        new[1:] &= kind[1:] != kind[:-1]
-        new[starts] = True
-        runs = np.diff(np.append(np.cumsum(new)[starts] - 1, new.sum())) if len(starts) else np.zeros(0, np.int64)
-        shape = span_hashes(kind[new], runs) % U(SHAPES)
-        yield word.astype(np.int64), WORDS + shape.astype(np.int64), owner, j - i
+    for part in range(0, len(texts), ROWS):
+        for i, j, data, off in buffers(texts.slice(part, ROWS)):
+            starts, ends, owner, solid = word_spans(data, off)
+            word = span_hashes(_LOWER[data[solid]], ends - starts) % U(WORDS)
+            kind = _CLASS[data]
+            new = solid.copy()
+            new[1:] &= kind[1:] != kind[:-1]
+            new[starts] = True
+            runs = np.diff(np.append(np.cumsum(new)[starts] - 1, new.sum())) if len(starts) else np.zeros(0, np.int64)
+            shape = span_hashes(kind[new], runs) % U(SHAPES)
+            yield word.astype(np.int64), WORDS + shape.astype(np.int64), owner, j - i
 
 
 def index_vectors() -> np.ndarray:
@@ -65,39 +70,51 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Sums of the index vectors around each name, by one pass over co-occurrence counts."""
-    n = WORDS + SHAPES
-    index, out, seen = index_vectors(), np.zeros((n, DIM)), np.zeros(n)
-    for w, s in docs:
-        seen += np.bincount(w, minlength=n) + np.bincount(s, minlength=n)
+def around(word: np.ndarray, shape: np.ndarray, owner: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of the index vectors around each name, how often each occurs) in texts that follow each other."""
+    n, size = len(index), len(word)
+    out, seen = np.zeros((n, DIM)), (np.bincount(word, minlength=n) + np.bincount(shape, minlength=n)).astype(float)
+    if not size:
+        return out, seen
+    at = np.arange(size)
+    first = np.searchsorted(owner, owner, "left")
+    low, high = np.maximum(at - WINDOW, first), np.minimum(at + WINDOW + 1, np.searchsorted(owner, owner, "right"))
     for d in range(DIM):
-        for w, s in docs:
-            near = index[w, d] + index[s, d]
-            total = np.concatenate([[0], np.cumsum(near)])
-            at = np.arange(len(w))
-            around = total[np.minimum(at + WINDOW + 1, len(w))] - total[np.maximum(at - WINDOW, 0)]
-            out[:, d] += np.bincount(w, around - index[w, d], n) + np.bincount(s, around - index[s, d], n)
-    out /= np.maximum(1, seen)[:, None]
-    return (out + index).astype(np.float32)
+        near = index[word, d] + index[shape, d]
+        total = np.concatenate([[0], np.cumsum(near)])
+        beside = total[high] - total[low]
+        out[:, d] = np.bincount(word, beside - index[word, d], n) + np.bincount(shape, beside - index[shape, d], n)
+    return out, seen
 
 
-def pool(word, shape, owner, texts: int, vectors: np.ndarray) -> np.ndarray:
+def word_vectors(sums: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    return (sums / np.maximum(1, seen)[:, None] + index_vectors()).astype(np.float32)
+
+
+def counts_of(word: np.ndarray, shape: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of the names of each text, words equal to the one before)."""
     n = WORDS + SHAPES
     counts = np.bincount(np.concatenate([owner, owner]) * n + np.concatenate([word, shape]), minlength=texts * n)
-    counts = counts.reshape(texts, n).astype(np.float32)
+    again = np.zeros(texts)
+    if len(word) > 1:
+        again = np.bincount(owner[1:], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1]), texts)
+    return counts.reshape(texts, n).astype(np.float32), again
+
+
+def pooled(counts: np.ndarray, again: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     size = np.maximum(1, counts[:, :WORDS].sum(axis=1, keepdims=True))
     share = counts / size
     mean = share @ vectors
     spread = np.sqrt(np.maximum(0, share @ vectors**2 - mean**2))
-    top = np.sort(share[:, :WORDS], axis=1)[:, -3:] if texts else share[:, :3]
-    again = np.zeros(texts)
-    if len(word) > 1:
-        again = np.bincount(owner[1:], (word[1:] == word[:-1]) & (owner[1:] == owner[:-1]), texts)
+    top = np.sort(share[:, :WORDS], axis=1)[:, -3:] if len(counts) else share[:, :3]
     some = np.column_stack([again / size[:, 0], np.log1p(size) / 10, (counts[:, :WORDS] > 0).sum(axis=1, keepdims=True) / size, top])
     return np.hstack([mean, spread, share[:, WORDS : WORDS + SHAPES] @ _FOLD, some]).astype(np.float32)
 
 
+def pool(word, shape, owner, texts: int, vectors: np.ndarray) -> np.ndarray:
+    return pooled(*counts_of(word, shape, owner, texts), vectors)
+
+
 #: Shapes folded to 64 places.
 _FOLD = np.zeros((SHAPES, 64), np.float32)
 _FOLD[np.arange(SHAPES), np.arange(SHAPES) % 64] = 1
@@ -150,30 +167,56 @@ class Network:
         return 1 / (1 + np.exp(-self._logits(x) / self.temperature))
 
 
-def _listed(batches):
+LEARNED = "y int, again double, counts binary, sums binary"
+
+
+def _learned(batches):
+    """A row for each text: label and counts of names (place and count).  A row without a label: sums of word vectors."""
+    index, sums, seen = index_vectors(), np.zeros((WORDS + SHAPES, DIM)), np.zeros(WORDS + SHAPES)
     for b in batches:
-        out = []
+        at = 0
         for word, shape, owner, n in names(b["text"].fill_null("")):
-            cut = np.searchsorted(owner, np.arange(n + 1))
-            out += [np.stack([word[i:j], shape[i:j]]).astype(np.int16).tobytes() for i, j in zip(cut[:-1], cut[1:])]
-        yield pa.RecordBatch.from_arrays([b["y"], pa.array(out, pa.binary())], ["y", "names"])
+            more, often = around(word, shape, owner, index)
+            sums += more
+            seen += often
+            counts, again = counts_of(word, shape, owner, n)
+            packed = [np.concatenate([k := np.flatnonzero(x), x[k]]).astype(np.uint32).tobytes() for x in counts]
+            yield pa.RecordBatch.from_arrays([b["y"].slice(at, n), pa.array(again, pa.float64()), pa.array(packed, pa.binary()), pa.nulls(n, pa.binary())], ["y", "again", "counts", "sums"])
+            at += n
+    if seen.any():
+        both = np.concatenate([sums.ravel(), seen]).astype(np.float64).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary()), pa.array([both], pa.binary())], ["y", "again", "counts", "sums"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """(y, text): the different texts of at most ``rows`` labelled ids, at most 2 * rows of them, in PARTS partitions."""
+    spark = docs.sparkSession
+    marks = labels.filter(F.col(label_col).isin(0, 1) & learned_fold(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    marks = sample_under(marks, rows, "id").distinct()  # a few thousand rows by construction
+    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = written(spark, text.join(F.broadcast(marks), "id").select("y", "text", F.xxhash64("text", "y").alias("h")), "sample")
+    # repeated ids may bring more texts than ids: a hash says which are left out
+    few = sample_under(got.select("h"), 2 * rows, "h", once=True).distinct()
+    return got.dropDuplicates(["h"]).join(F.broadcast(few), "h", "left_semi").repartition(PARTS, "h").sortWithinPartitions("h").select("y", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS):
     """(network or mean label, word vectors)."""
-    marks = labels.filter(F.col(label_col).isin(0, 1) & learned_fold(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    marks = sample_under(marks, rows, "id").distinct()
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # marks are a few thousand rows by construction
-    got = text.join(F.broadcast(marks), "id").select("y", "text").mapInArrow(_listed, "y int, names binary").collect()
-    got.sort(key=lambda r: (r["y"], bytes(r["names"])))
-    lists = [tuple(np.frombuffer(bytes(r["names"]), np.int16).astype(np.int64).reshape(2, -1)) for r in got]
-    y = np.array([r["y"] for r in got], float)
-    vectors = word_vectors(lists)
+    got = sample(docs, labels, id_col, text_col, label_col, rows).mapInArrow(_learned, LEARNED).collect()
+    sums = sum((np.frombuffer(bytes(r["sums"]), np.float64) for r in sorted((r for r in got if r["sums"] is not None), key=lambda r: bytes(r["sums"]))), np.zeros((WORDS + SHAPES) * (DIM + 1)))
+    vectors = word_vectors(sums[: -(WORDS + SHAPES)].reshape(-1, DIM), sums[-(WORDS + SHAPES) :])
+    got = sorted((r["y"], bytes(r["counts"]), r["again"]) for r in got if r["sums"] is None)
+    y = np.array([g[0] for g in got], float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5, vectors
-    x = np.vstack([pool(w, s, np.zeros(len(w), np.int64), 1, vectors) for w, s in lists])
-    return Network().fit(x, y), vectors
+    x = []
+    for i in range(0, len(got), ROWS):
+        counts = np.zeros((len(got[i : i + ROWS]), WORDS + SHAPES), np.float32)
+        for row, (_, packed, _) in zip(counts, got[i : i + ROWS]):
+            at, n = np.frombuffer(packed, np.uint32).reshape(2, -1)
+            row[at] = n
+        x.append(pooled(counts, np.array([g[2] for g in got[i : i + ROWS]]), vectors))
+    return Network().fit(np.vstack(x), y), vectors
 
 
 def _score(batches, sent):
