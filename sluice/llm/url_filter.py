@@ -1,8 +1,11 @@
 """URL filter: host and path rules, and gradient-boosted trees for the urls that no rule fits.
 
-The trees are trained from labelled urls (those that a rule fits, labelled by
-its verdict) on lexical features: lengths, depth, digit ratio, entropy,
-parameter counts, and statistics of the host's suffix over all labelled urls.
+The trees are trained from labelled urls on lexical features: lengths, depth,
+digit ratio, entropy, parameter counts, and statistics of the host's suffixes
+(its last two and last three labels) over all labelled urls; those of a url
+that is learned from leave out its own label.  Labels come from a table of
+(url, block) if one is given; without one, urls that a rule fits are labelled
+by it, and of the others those whose host has a word of BAIT are labelled block.
 
 Defined results.  A null url, or one without ``://``, has an empty host and
 path, fits no rule and is judged by the trees.  Without any labelled url, or
@@ -26,8 +29,11 @@ from .common import lower_ascii
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Labelled urls to train from: the bound of the sample.
 TRAIN_ROWS = 20_000
-#: Buckets of host suffixes with statistics.
-SUFFIXES = 512
+#: Words of hosts that label a url without a rule.
+BAIT = ("bet", "bets", "casino", "jackpot", "lottery", "pills", "poker", "porn", "slots", "viagra", "xxx")
+#: Buckets of host suffixes with statistics, for each length of suffix.
+SUFFIXES = 4096
+LABELS = (2, 3)
 TREES, DEPTH, RATE, BINS = 40, 4, 0.2, 32
 
 
@@ -49,12 +55,28 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _suffix(host: Column) -> Column:
-    """The bucket of the host's last two labels."""
-    return F.pmod(F.xxhash64(F.regexp_extract(host, r"([^.]*\.?[^.]*)$", 1)), F.lit(SUFFIXES)).cast("int")
+def _suffix(host: Column, labels: int) -> Column:
+    """The bucket of the host's last labels."""
+    last = F.substring_index(host, ".", -labels)
+    return (F.pmod(F.xxhash64(last), F.lit(SUFFIXES)) + labels * SUFFIXES).cast("int")
 
 
-def features(urls: list, hosts: list, paths: list, suffix: np.ndarray, stats: np.ndarray) -> np.ndarray:
+def baited(host: Column) -> Column:
+    return host.rlike(r"(^|[.\-])(" + "|".join(BAIT) + r")([.\-]|$)")
+
+
+def suffix_features(suffix: np.ndarray, stats: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """Share of blocked urls and size of each suffix; own: the urls' labels, which are taken out of the counts."""
+    out = []
+    for col in suffix.T:
+        blocked, n = stats[col].T
+        if own is not None:
+            blocked, n = blocked - own, n - 1
+        out += [(blocked + 1) / (n + 2), np.log1p(n)]
+    return np.column_stack(out)
+
+
+def features(urls: list, hosts: list, paths: list, suffix: np.ndarray) -> np.ndarray:
     rows = []
     for u, h, p in zip(urls, hosts, paths):
         u = u or ""
@@ -69,7 +91,7 @@ def features(urls: list, hosts: list, paths: list, suffix: np.ndarray, stats: np
             sum(x.isdigit() for x in h), u.startswith("https"), len(p.split("/")[1]) if p else 0, p.endswith("/"),
         ))
     x = np.array(rows, np.float64).reshape(len(rows), 16)
-    return np.column_stack([x, stats[suffix, 0], stats[suffix, 1]])
+    return np.column_stack([x, suffix])
 
 
 class Boosted:
@@ -131,31 +153,49 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.base + RATE * sum(self._leaf(t, b) for t in self.trees))))
 
 
-def _split(pages: DataFrame, id_col: str, url_col: str, rules) -> DataFrame:
+def _parted(urls: DataFrame) -> DataFrame:
+    """urls (.., url) with host, path and suffixes."""
     host, path = parts(F.col("url"))
-    return (
-        pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-        .select("id", "url", host.alias("host"), path.alias("path"))
-        .withColumns({"rule": rule_of(F.col("host"), F.col("path"), rules), "suffix": _suffix(F.col("host"))})
-    )
+    out = urls.withColumns({"host": host, "path": path})
+    return out.withColumn("suffix", F.array(*[_suffix(F.col("host"), k) for k in LABELS]))
 
 
-def fit(split: DataFrame, rules=RULES, rows: int = TRAIN_ROWS):
-    """(model, suffix statistics): the statistics count all labelled urls, the trees see at most ``rows`` of them."""
+def self_labelled(split: DataFrame, rules=RULES) -> DataFrame:
+    """(url, host, path, suffix, y) of the urls that rules or bait words label."""
     blocked = F.col("rule").isin([r for r, v in rules if v == "block"])
-    labelled = split.filter("rule is not null").withColumn("y", blocked.cast("int"))
-    stats = np.zeros((SUFFIXES, 2))
-    stats[:, 0] = 0.5
-    for r in labelled.groupBy("suffix").agg(F.sum("y").alias("b"), F.count("*").alias("n")).collect():  # SUFFIXES rows at most
-        stats[r["suffix"]] = (r["b"] + 1) / (r["n"] + 2), np.log1p(r["n"])
-    sample = labelled.select("url", "host", "path", "suffix", "y").orderBy(F.xxhash64("url"), "url").limit(rows).collect()
-    if not sample:
+    y = F.when(F.col("rule").isNotNull(), blocked).when(baited(F.col("host")), F.lit(True))
+    return split.select("url", "host", "path", "suffix", y.cast("int").alias("y")).filter("y is not null")
+
+
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS):
+    """(model, suffix statistics): the statistics count all labelled urls, the trees see at most ``rows`` of them."""
+    stats = np.zeros((SUFFIXES * (max(LABELS) + 1), 2))
+    counted = labelled.select(F.explode("suffix").alias("s"), "y").groupBy("s").agg(F.sum("y").alias("b"), F.count("*").alias("n"))
+    for r in counted.collect():  # SUFFIXES rows a length at most
+        stats[r["s"]] = r["b"], r["n"]
+    x, y = [], []
+    # one bounded row of numbers a url comes to the driver, not the url itself
+    first = labelled.select("url", "host", "path", "suffix", "y", F.xxhash64("url").alias("h"))
+    last = first.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
         return 0.0, stats
-    y = np.array([r["y"] for r in sample], float)
+    picked = first.filter(F.col("h") <= F.lit(last)).mapInArrow(_lexical, "h long, y int, suffix array<int>, x array<double>")
+    got = picked.orderBy("h", "y", "x").limit(rows).collect()
+    y = np.array([r["y"] for r in got], float)
     if y.min() == y.max():
         return float(y[0]), stats
-    cols = list(zip(*[(r["url"], r["host"], r["path"]) for r in sample]))
-    return Boosted().fit(features(*cols, np.array([r["suffix"] for r in sample]), stats), y), stats
+    x, suffix = np.array([r["x"] for r in got]), np.array([r["suffix"] for r in got])
+    return Boosted().fit(np.column_stack([x, suffix_features(suffix, stats, y)]), y), stats
+
+
+def _suffixes(b: pa.RecordBatch) -> np.ndarray:
+    return np.array(b["suffix"].to_pylist(), np.int64).reshape(b.num_rows, len(LABELS))
+
+
+def _lexical(batches):
+    for b in batches:
+        x = features(*(b[c].to_pylist() for c in ("url", "host", "path")), np.zeros((b.num_rows, 0)))
+        yield pa.RecordBatch.from_arrays([b["h"], b["y"], b["suffix"], pa.array(x.tolist(), pa.list_(pa.float64()))], ["h", "y", "suffix", "x"])
 
 
 def _judge(batches, sent):
@@ -164,15 +204,22 @@ def _judge(batches, sent):
         if isinstance(model, float):
             p = np.full(b.num_rows, model)
         else:
-            u, h, q = (b[c].to_pylist() for c in ("url", "host", "path"))
-            p = model.predict(features(u, h, q, b["suffix"].to_numpy(), stats))
+            p = model.predict(features(*(b[c].to_pylist() for c in ("url", "host", "path")), suffix_features(_suffixes(b), stats)))
         yield pa.RecordBatch.from_arrays([b["id"], b["host"], b["path"], b["rule"], pa.array(p, pa.float64())], ["id", "host", "path", "rule", "score"])
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
-    """Per row: id, host, path, rule, verdict, score (the trees' probability of block)."""
-    split = _split(pages, id_col, url_col, rules)
-    sent = pages.sparkSession.sparkContext.broadcast(fit(split, rules))
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """Per row: id, host, path, rule, verdict, score (the trees' probability of block).
+
+    labelled: (url, block) to train from; a null url or label there is left out.
+    """
+    split = _parted(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")))
+    split = split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    if labelled is None:
+        known = self_labelled(split, rules)
+    else:
+        known = _parted(labelled.select("url", F.col("block").cast("int").alias("y"))).filter("url is not null and y is not null")
+    sent = pages.sparkSession.sparkContext.broadcast(fit(known))
     kind = split.schema["id"].dataType.simpleString()
     judged = split.mapInArrow(partial(_judge, sent=sent), f"id {kind}, host string, path string, rule string, score double")
     verdict = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
