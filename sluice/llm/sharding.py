@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Fine ranges; with more than ROWS_A_RANGE rows a range there are more of them, up to MOST_RANGES.
-RANGES, ROWS_A_RANGE, MOST_RANGES = 1024, 200_000, 65_536
+#: Fine ranges: one for ROWS_A_RANGE rows, within these bounds.
+RANGES, ROWS_A_RANGE, MOST_RANGES = 32, 4_000, 65_536
 #: Sampled keys a range.
 SAMPLES = 8
-#: A range is overfull beyond so many times the mean.
+#: A range is overfull beyond so many times the mean; so often are ranges subdivided.  What is overfull still (one
+#: record may be) takes one task longer, the shards stay exact: they are cut from running totals.
 OVERFULL, SPLITS = 3.0, 3
 LOW = -(1 << 63)
 
@@ -68,12 +69,15 @@ def splitters_of(keys: DataFrame, rows: int) -> list:
     splitters = _quantiles(_sample(keys, ranges * SAMPLES, 0), ranges)
     for again in range(1, SPLITS + 1):
         ranged = _ranged(keys, splitters)
-        bytes_of = {r["range"]: r["b"] for r in ranged.groupBy("range").agg(F.sum("size").alias("b")).collect()}
+        got = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("c")).collect()  # a row a range
+        bytes_of = {r["range"]: r["b"] for r in got}
         mean = sum(bytes_of.values()) / ranges
-        over = [r for r, b in bytes_of.items() if b > OVERFULL * mean]
+        rows_of = {r["range"]: r["c"] for r in got}
+        over = [r for r, b in bytes_of.items() if b > OVERFULL * mean and rows_of[r] > 1]
         if not over:
             break
-        inside = ranged.filter(F.col("range").isin(over)) if len(over) < 500 else ranged
+        some = keys.sparkSession.createDataFrame([(r,) for r in over], "range int")  # fewer than 1 / OVERFULL of the ranges
+        inside = ranged.join(F.broadcast(some), "range", "left_semi")
         share = sum(bytes_of[r] for r in over) / mean
         more = _quantiles(_sample(inside, min(ranges, int(2 * share) + 1) * SAMPLES, again), int(2 * share) + 1)
         if not set(more) - set(splitters):
