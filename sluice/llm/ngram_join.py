@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitmap import bitmap, sift
+from .bitmap import passing
 from .common import BROADCAST_IDS, LOW, model, without, written
 from .shingles import U, chunk_sets, chunks, mix, short_shingle, shingle_sets
 
@@ -306,7 +306,7 @@ def _verified(spark: SparkSession, pairs: DataFrame, info: DataFrame, docs: Data
     if wanted <= BROADCAST_IDS:
         whole = docs.join(F.broadcast(ids), "id", "left_semi")
     else:
-        whole = sift(docs, "id", bitmap(spark, ids, "id"))
+        whole = passing(spark, docs, ids, "id")
     sets = written(spark, whole.mapInArrow(partial(_whole_sets, k=k), "rep long, n long, items array<long>"), "sets")
     if sets.count() != wanted:  # several rows of one id
         sets = written(spark, sets.join(ends.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
@@ -388,7 +388,7 @@ def _classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k
     classes = written(spark, classes, "classes")
     posted = written(spark, d.mapInArrow(partial(_postings, k=k, percent=percent, limit=limit, tables=sent), "key long, sid long, rest int"), "postings")
     shared = posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key")
-    places_of = sift(posted, "key", bitmap(spark, written(spark, shared, "keys"), "key"))
+    places_of = passing(spark, posted, written(spark, shared, "keys"), "key")
     places_of = written(spark, places_of.distinct(), "places")
     wide = rows.select("id", "sid", "sid2", "wide")
     info = places_of.select("sid").distinct().join(classes, "sid").join(wide, ["id", "sid", "sid2"])
