@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -20,28 +22,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """The folder that all executors share: what the session names in ``spark.checkpoint.dir``.
 
-    It is what the session names in ``spark.checkpoint.dir``; only where that
-    is unset (single-machine tests) a temporary folder is made and set.
+    Only on one machine (master ``local``) may that be unset: a temporary
+    folder is made then.  On a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         sc = spark.sparkContext
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="sluice-"))
             named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """At the driver's end: the folder of its intermediate tables goes, if the session is still there to do it."""
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
     The files are whole and replicated by the shared store, so a lost executor
-    costs nothing that was written.
+    costs nothing that was written.  The driver's folder is removed when it ends.
     """
-    path = f"{shared_dir(spark)}/sluice-{os.getpid()}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/sluice-{os.getpid()}-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,7 +20,7 @@ def kept_by_rules(text):
     lines = len([x for x in t.split("\n") if x.strip(" \t\n\x0b\f\r")])
     upper, digits = sum("A" <= x <= "Z" for x in t), sum("0" <= x <= "9" for x in t)
     return not (
-        w < 50 or 100 * m["n_repeat_words"] > 50 * w or 10 * m["n_symbols"] > w or 2 * m["n_dup_lines"] > lines
+        100 * m["n_repeat_words"] > 50 * w or 10 * m["n_symbols"] > w or 2 * m["n_dup_lines"] > lines
         or c < 2 * w or c > 14 * w or 2 * upper > c or 10 * digits > 4 * c or 5 * t.count("!") > w
     )
 

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from sluice.llm import exact_dedup, ngram_join, quality_rules
+from sluice.llm import bitmap, exact_dedup, ngram_join, quality_rules
 from sluice.llm.queries import op5_ngram_jaccard_join, op8_quality_rules, op10_exact_dedup
 
 from .util import COLS, awkward, by_id, empty, rows
@@ -57,6 +57,8 @@ def test_ablations(spark, sf):
     led = quality_rules.ledger(spark.read.parquet(f"{sf}/documents.parquet"))
     bits = [r["fail_bits"] for r in rows(led)]
     for version, mask in quality_rules.POLICIES.items():
+        kept = quality_rules.apply_policy(led, version).filter("kept").count()
+        assert kept == sum(b & mask == 0 for b in bits)
         for r in rows(quality_rules.ablations(led, version)):
             bit = next(1 << x.bit for x in quality_rules.RULES if x.name == r["rule"])
             assert r["n_failed"] == sum(b & bit > 0 for b in bits)
@@ -217,6 +219,15 @@ def test_join_boundary_any(spark, monkeypatch):
     assert rows(ngram_join.ngram_classes(spark, empty(spark))) == []
 
 
+def test_join_without_bitmaps(spark, monkeypatch):
+    """Keys and documents beyond a bitmap or a broadcast are joined by shuffle."""
+    monkeypatch.setattr(bitmap, "MOST_BITS", 2)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    texts = near_copies(7, 60, 20, 4, 100) + [(900, ""), (901, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    check_classes(rows(ngram_join.ngram_classes(spark, df, k=3, percent=70)), texts, 3, 70)
+
+
 def test_join_beside_a_long_word(spark):
     copies = near_copies(6, 60, 4, 1, 100)
     texts = [*copies, (200, copies[0][1]), (201, "x" * 2000 + " " + "y" * 3000), (202, "x" * 2000 + " " + "y" * 3000)]
