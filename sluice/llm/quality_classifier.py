@@ -11,7 +11,7 @@ probabilities.
 
 The sample holds at most TRAIN_ROWS labelled ids of the learning fold and 2 *
 TRAIN_ROWS different texts of them; its word vectors are summed by PARTS tasks
-and the driver gets these sums and, of each text, its counts of names.
+and the driver gets these sums and, of each text, its features.
 Defined results: a text without words scores as the zero vector; without two
 kinds of labels the score is the label's mean (0.5 without any).  A document
 with labels of both kinds is learned as each.  Null ids are passed through,
@@ -167,25 +167,22 @@ class Network:
         return 1 / (1 + np.exp(-self._logits(x) / self.temperature))
 
 
-LEARNED = "y int, again double, counts binary, sums binary"
-
-
-def _learned(batches):
-    """A row for each text: label and counts of names (place and count).  A row without a label: sums of word vectors."""
+def _summed(batches):
+    """One row: the sums around all names of this task's texts, and how often each occurs."""
     index, sums, seen = index_vectors(), np.zeros((WORDS + SHAPES, DIM)), np.zeros(WORDS + SHAPES)
     for b in batches:
-        at = 0
-        for word, shape, owner, n in names(b["text"].fill_null("")):
+        for word, shape, owner, _ in names(b["text"]):
             more, often = around(word, shape, owner, index)
             sums += more
             seen += often
-            counts, again = counts_of(word, shape, owner, n)
-            packed = [np.concatenate([k := np.flatnonzero(x), x[k]]).astype(np.uint32).tobytes() for x in counts]
-            yield pa.RecordBatch.from_arrays([b["y"].slice(at, n), pa.array(again, pa.float64()), pa.array(packed, pa.binary()), pa.nulls(n, pa.binary())], ["y", "again", "counts", "sums"])
-            at += n
-    if seen.any():
-        both = np.concatenate([sums.ravel(), seen]).astype(np.float64).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary()), pa.array([both], pa.binary())], ["y", "again", "counts", "sums"])
+    yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([sums.ravel(), seen]).tobytes()], pa.binary())], ["sums"])
+
+
+def _pooled(batches, sent):
+    """A row a text: label and features."""
+    for b in batches:
+        x = [pool(*chunk, sent.value) for chunk in names(b["text"])]
+        yield pa.RecordBatch.from_arrays([b["y"], pa.array([row.tobytes() for part in x for row in part], pa.binary())], ["y", "x"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
@@ -202,21 +199,17 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = TRAIN_ROWS):
     """(network or mean label, word vectors)."""
-    got = sample(docs, labels, id_col, text_col, label_col, rows).mapInArrow(_learned, LEARNED).collect()
-    sums = sum((np.frombuffer(bytes(r["sums"]), np.float64) for r in sorted((r for r in got if r["sums"] is not None), key=lambda r: bytes(r["sums"]))), np.zeros((WORDS + SHAPES) * (DIM + 1)))
-    vectors = word_vectors(sums[: -(WORDS + SHAPES)].reshape(-1, DIM), sums[-(WORDS + SHAPES) :])
-    got = sorted((r["y"], bytes(r["counts"]), r["again"]) for r in got if r["sums"] is None)
+    few = written(docs.sparkSession, sample(docs, labels, id_col, text_col, label_col, rows), "few")
+    # a few MB for each of PARTS tasks and some hundred bytes a text come to the driver
+    parts = [np.frombuffer(r, np.float64) for r in sorted(bytes(r["sums"]) for r in few.select("text").repartition(PARTS).mapInArrow(_summed, "sums binary").collect())]
+    whole = sum(parts, np.zeros((WORDS + SHAPES) * (DIM + 1)))
+    vectors = word_vectors(whole[: -(WORDS + SHAPES)].reshape(-1, DIM), whole[-(WORDS + SHAPES) :])
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+    got = sorted((r["y"], bytes(r["x"])) for r in few.mapInArrow(partial(_pooled, sent=sent), "y int, x binary").collect())
     y = np.array([g[0] for g in got], float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5, vectors
-    x = []
-    for i in range(0, len(got), ROWS):
-        counts = np.zeros((len(got[i : i + ROWS]), WORDS + SHAPES), np.float32)
-        for row, (_, packed, _) in zip(counts, got[i : i + ROWS]):
-            at, n = np.frombuffer(packed, np.uint32).reshape(2, -1)
-            row[at] = n
-        x.append(pooled(counts, np.array([g[2] for g in got[i : i + ROWS]]), vectors))
-    return Network().fit(np.vstack(x), y), vectors
+    return Network().fit(np.stack([np.frombuffer(g[1], np.float32) for g in got]), y), vectors
 
 
 def _score(batches, sent):
