@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,39 +87,94 @@ def trim(x: Column) -> Column:
     return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
-def _any(t: Column, patterns) -> Column:
-    """Whether one fits.  Those bound to the line's start make one regex that is tried there only."""
-    bound = [p for p in patterns if p.startswith(("^", "(?i:^"))]
-    free = [p for p in patterns if p not in bound]
+# Lower-case parts, one of which a line needs for the pattern to fit: cheaper to look for than the pattern.
+NEEDS = {
+    r"^.*[█▓▒░]{3,}.*$": ("█", "▓", "▒", "░"),
+    r"^.*[#=\-]{5,}>?\s*\d+%": ("%",),
+    r"(?i:downloading.*\d+(\.\d+)?\s*(kb|mb|gb|bytes)\s*[/|]\s*\d+)": ("downloading",),
+    r"systemd\[\d+\]:\s*(Started|Stopped|Starting|Stopping)\s": ("systemd[",),
+    r"systemd\[\d+\]:\s*Created slice": ("systemd[",),
+    r"systemd\[\d+\]:\s*Reached target": ("systemd[",),
+    r"systemd\[\d+\]:\s*Listening on": ("systemd[",),
+    r"Traceback \(most recent call last\)": ("traceback (",),
+    r"(?i:cannot find module)": ("cannot find module",),
+    r"(?i:command\s+(not\s+found|failed))": ("command",),
+    r"(?i:permission denied)": ("permission denied",),
+    r"(?i:no such file or directory)": ("no such file",),
+    r"(?i:segmentation fault)": ("segmentation",),
+    r"(?i:out of memory)": ("out of memory",),
+    r"(?i:compilation? (error|failed))": ("compilatio",),
+    r"(?i:build\s+failed)": ("build",),
+    r"(?i:Active:\s*(failed|inactive\s*\(dead\)))": ("active:",),
+    r"(?i:\(Result:\s*(exit-code|core-dump|timeout|signal)\))": ("(result:",),
+    r"(?i:activating\s*\(auto-restart\))": ("activating",),
+    r"(?i:Unit\s+\S+\s+could not be found)": ("could not be found",),
+    r"(?i:kernel:\s.*segfault)": ("kernel:",),
+    r"(?i:kernel:\s.*oom-killer)": ("kernel:",),
+    r"(?i:\[failed\])": ("[failed]",),
+    r"(?i:deprecated)": ("deprecated",),
+}
+
+
+def _any(t: Column, low: Column, patterns) -> Column:
+    """Whether one fits: first those bound to the line's start, in one regex that is tried there only; of the others
+    those are tried whose needs the line has."""
+    bound = [p for p in patterns if p not in NEEDS]
+    free = [p for p in patterns if p in NEEDS]
+    if not all(p.startswith(("^", "(?i:^")) for p in bound):
+        raise ValueError("a pattern that isn't bound to the start needs a part to look for")
     out = t.rlike("^(?:" + "|".join(f"(?:{p})" for p in bound) + ")")
-    return out | t.rlike("|".join(f"(?:{p})" for p in free)) if free else out
+    if not free:
+        return out
+    parts = list(dict.fromkeys(x for p in free for x in NEEDS[p]))
+    may = reduce(or_, [F.contains(low, F.lit(x)) for x in parts])
+    return out | (may & t.rlike("|".join(f"(?:{p})" for p in free)))
+
+
+def findings(line: Column) -> Column:
+    """STRUCT(noise, error, warning) of a line, which is trimmed and put into lower case once."""
+    return _tested(line, lambda t, low: F.struct(_noise(t, low).alias("noise"), _any(t, low, ERRORS).alias("error"), _any(t, low, WARNINGS).alias("warning")))
+
+
+def _noise(t: Column, low: Column) -> Column:
+    return (t != "") & _any(t, low, NOISE)
+
+
+def _tested(line: Column, test: Callable[[Column, Column], Column]) -> Column:
+    both = bound(trim(line), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    return bound(both, lambda v: test(v["t"], v["low"]))
 
 
 def is_noise(line: Column) -> Column:
-    t = trim(line)
-    return (t != "") & _any(t, NOISE)
+    return _tested(line, _noise)
 
 
 def is_error(line: Column) -> Column:
-    return _any(trim(line), ERRORS)
+    return _tested(line, lambda t, low: _any(t, low, ERRORS))
 
 
 def is_warning(line: Column) -> Column:
-    return _any(trim(line), WARNINGS)
+    return _tested(line, lambda t, low: _any(t, low, WARNINGS))
 
 
 def is_blank(line: Column) -> Column:
     return ~line.rlike(r"\S")
 
 
+def _if_has(text: Column, part: str, then: Column) -> Column:
+    """then, worked out only for texts with the part (a plain search is far cheaper than a pattern)."""
+    return F.when(F.contains(text, F.lit(part)), then).otherwise(text)
+
+
 def newlines(text: Column) -> Column:
     """CRLF and CR become LF."""
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return _if_has(text, "\r", F.regexp_replace(text, r"\r\n?", "\n"))
 
 
 def strip_ansi(text: Column) -> Column:
     """Escape sequences and carriage returns that don't end a line go; overwritten text stays."""
-    return F.regexp_replace(F.regexp_replace(text, ANSI, ""), r"\r(?!\n)", "")
+    bare = _if_has(text, "\x1b", F.regexp_replace(text, ANSI, ""))
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(bare, r"\r(?!\n)", "")).otherwise(bare)
 
 
 def lines(text: Column) -> Column:
@@ -141,8 +198,9 @@ def number_lines(ls: Column) -> Column:
 
 def normalize_line(line: Column) -> Column:
     """Hex runs with a digit become H, numbers N; space is squeezed."""
-    x = F.regexp_replace(line, r"(?i)(?=[0-9a-f]*\d)[0-9a-f]{7,}", "H")
-    return trim(F.regexp_replace(F.regexp_replace(x, r"\d+", "N"), r"\s+", " "))
+    hex = F.when(line.rlike(r"(?i)[0-9a-f]{7}"), F.regexp_replace(line, r"(?i)(?=[0-9a-f]*\d)[0-9a-f]{7,}", "H")).otherwise(line)
+    x = F.when(line.rlike("[0-9]"), F.regexp_replace(hex, r"\d+", "N")).otherwise(line)
+    return trim(F.when(line.rlike(r"\s\s|[\t\r\n\f\x0b]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x))
 
 
 def squeeze(text: Column) -> Column:
@@ -210,4 +268,4 @@ def git_path(path: Column) -> Column:
 
 
 def footer(before: Column, after: Column, percent: Column, label: str = "condensed", unit: str = "lines") -> Column:
-    return F.format_string(f"--- {label}: %d {unit} → %d {unit} (%d%%%% saved) ---", before, after, percent)
+    return F.format_string(f"--- {label}: %d {unit} → %d {unit} (%d%% saved) ---", before, after, percent)

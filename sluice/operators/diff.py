@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import truncate
 
 
 def numbered(ls: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -80,36 +81,58 @@ def told_stats(content: Column) -> Column:
     return F.when(content.rlike(line), F.struct(part(1).alias("n_files"), part(2).alias("additions"), part(3).alias("deletions")))
 
 
-def render(ls: DataFrame, doc: str = "doc_id", level: str = "compact") -> DataFrame:
-    """(doc, lines): a summary (and, unless ``summary``, each file's hunks: changed lines only if ``compact``).
+def summary(ls: DataFrame, doc: str = "doc_id", told: DataFrame | None = None) -> DataFrame:
+    """(doc, lines): the totals, then a line a file.  told: (doc, told) with what told_stats read from the text, which goes before."""
+    each = files(ls, doc).select(doc, "file_no", summary_line().alias("line"), "additions", "deletions")
+    per = each.groupBy(doc).agg(
+        F.count("*").alias("n_files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"),
+        F.transform(F.array_sort(F.collect_list(F.struct("file_no", "line"))), lambda x: x["line"]).alias("files"),
+    )
+    if told is not None:
+        per = told.join(per, doc, "left")
+    pick = lambda c: F.coalesce(F.col(f"told.{c}") if told is not None else F.lit(None), F.col(c), F.lit(0).cast("long"))
+    first = F.format_string("%d files changed, +%d -%d", pick("n_files"), pick("additions"), pick("deletions"))
+    none = F.array().cast("array<string>")
+    return per.select(doc, F.concat(F.array(first), F.coalesce("files", none)).alias("lines"))
+
+
+def chunks(ls: DataFrame, doc: str = "doc_id", level: str = "compact") -> DataFrame:
+    """(doc, chunks): for each file its lines that come first (head and first hunk) and the rest.
 
-    Lines keep their rows until the last step, so a document's file is never
-    held as one value before its lines are chosen.
+    ``compact``: a summary line and the changed lines; ``full``: the file's own lines.
     """
-    if level not in ("summary", "compact", "full"):
+    if level not in ("compact", "full"):
         raise ValueError(f"level: {level}")
-    each = files(ls, doc).select(doc, "file_no", summary_line().alias("line"), "binary", "additions", "deletions")
-    row = lambda a, b, c: F.struct(F.col("file_no").alias("f"), F.lit(a).alias("part"), b.alias("at"), c.alias("line"))
-    zero = F.lit(0).cast("long")
+    n = numbered(ls, doc)
+    row = lambda at, line, part=0: F.struct(at.alias("at"), F.lit(part).alias("part"), line.alias("line"))
+    place = F.col("line_no").cast("long")
     if level == "full":
-        raw = numbered(ls, doc).select(doc, row(1, F.col("line_no").cast("long"), F.col("line")).alias("r"))
-        gaps = each.filter("file_no > 1").select(doc, row(0, zero, F.lit("")).alias("r"))
-        return _lines(raw.unionByName(gaps), doc)
-    heads = each.select(doc, row(1, zero, F.col("line")).alias("r"))
+        w = Window.partitionBy(doc, "file_no")
+        raw = n.withColumns({"hunks": F.max("hunk_no").over(w), "nth": F.row_number().over(w.orderBy("line_no"))})
+        first = F.when(F.col("hunks").isNull(), F.col("nth") <= 6).otherwise(F.coalesce("hunk_no", F.lit(1)) <= 1)
+        rows = raw.select(doc, "file_no", first.alias("first"), row(place, F.col("line")).alias("r"))
+    else:
+        each = files(ls, doc).select(doc, "file_no", summary_line().alias("line"), "binary")
+        low = F.lit(-(1 << 62)).cast("long")
+        heads = each.select(doc, "file_no", F.lit(True).alias("first"), row(low, F.col("line")).alias("r"))
+        inside = n.filter("hunk_no is not null").join(each.filter("binary").select(doc, "file_no"), [doc, "file_no"], "left_anti")
+        change = F.col("line").rlike(r"^[-+\\]")
+        shown = inside.filter(change | F.col("line").startswith("@@ "))
+        shown = shown.select(doc, "file_no", (F.col("hunk_no") == 1).alias("first"), row(place, F.col("line")).alias("r"))
+        per = inside.groupBy(doc, "file_no", "hunk_no").agg(F.max("line_no").cast("long").alias("line_no"), F.count_if(change).alias("n"))
+        idle = per.filter("n = 0").select(doc, "file_no", (F.col("hunk_no") == 1).alias("first"), row(F.col("line_no"), F.lit("  ... context omitted ..."), 1).alias("r"))
+        bare = each.join(inside.select(doc, "file_no").distinct(), [doc, "file_no"], "left_anti")
+        note = F.when(F.col("binary"), "Binary file changed").otherwise("No textual hunks")
+        notes = bare.select(doc, "file_no", F.lit(True).alias("first"), row(low + 1, note).alias("r"))
+        rows = heads.unionByName(shown).unionByName(idle).unionByName(notes)
+    part = lambda yes: F.transform(F.array_sort(F.collect_list(F.when(F.col("first") == yes, F.col("r")))), lambda x: x["line"])
+    per_file = rows.groupBy(doc, "file_no").agg(part(True).alias("priority"), part(False).alias("rest"))
+    ordered = F.array_sort(F.collect_list(F.struct("file_no", "priority", "rest")))
+    return per_file.groupBy(doc).agg(F.transform(ordered, lambda x: F.struct(x["priority"].alias("priority"), x["rest"].alias("rest"))).alias("chunks"))
+
+
+def render(ls: DataFrame, doc: str = "doc_id", level: str = "compact") -> DataFrame:
+    """(doc, lines): a summary (and, unless ``summary``, each file's hunks: changed lines only if ``compact``)."""
     if level == "summary":
-        total = each.groupBy(doc).agg(F.count("*").alias("n"), F.sum("additions").alias("a"), F.sum("deletions").alias("d"))
-        first = total.select(doc, F.struct(zero.alias("f"), F.lit(0).alias("part"), zero.alias("at"), F.format_string("%d files changed, +%d -%d", "n", "a", "d").alias("line")).alias("r"))
-        return _lines(first.unionByName(heads), doc)
-    inside = numbered(ls, doc).filter("hunk_no is not null")
-    changed = inside.filter(F.col("line").rlike(r"^[-+\\\\]") | F.col("line").startswith("@@ "))
-    gaps = each.filter("file_no > 1").select(doc, row(0, zero, F.lit("")).alias("r"))
-    shown = changed.join(each.filter("binary").select(doc, "file_no"), [doc, "file_no"], "left_anti").select(doc, row(2, F.col("line_no").cast("long"), F.col("line")).alias("r"))
-    per = inside.groupBy(doc, "file_no", "hunk_no").agg(F.max("line_no").alias("line_no"), F.count_if(F.col("line").rlike(r"^[-+\\\\]")).alias("n"))
-    idle = per.filter("n = 0").select(doc, row(2, F.col("line_no").cast("long"), F.lit("  ... context omitted ...")).alias("r"))
-    bare = each.join(inside.select(doc, "file_no").distinct(), [doc, "file_no"], "left_anti").unionByName(each.filter("binary")).distinct()
-    notes = bare.select(doc, row(3, zero, F.when(F.col("binary"), "Binary file changed").otherwise("No textual hunks")).alias("r"))
-    return _lines(heads.unionByName(gaps).unionByName(shown).unionByName(idle).unionByName(notes), doc)
-
-
-def _lines(rows: DataFrame, doc: str) -> DataFrame:
-    return rows.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]).alias("lines"))
+        return summary(ls, doc)
+    return chunks(ls, doc, level).select(doc, truncate.flat(F.col("chunks")).alias("lines"))

@@ -28,17 +28,22 @@ def filter_noise(ls: DataFrame, id_col: str) -> DataFrame:
     return kept.select(id_col, "line_no", F.when(F.col("noise"), hint).otherwise(F.col("line")).alias("line"))
 
 
-def line_counts(ls: DataFrame, id_col: str) -> DataFrame:
-    """Per document: lines, blank, error, warning, noise lines and tokens."""
-    c = F.col("line")
-    return ls.groupBy(id_col).agg(
-        F.count("*").alias("n_lines"),
-        F.count_if(T.is_blank(c)).alias("n_blank"),
-        F.count_if(T.is_error(c)).alias("n_error"),
-        F.count_if(T.is_warning(c)).alias("n_warning"),
-        F.count_if(T.is_noise(c)).alias("n_noise"),
-        F.sum(F.ceil((T.units(c) + 1) / 4)).alias("n_tokens"),
-    )
+def line_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per document: lines, blank, error, warning, noise lines and tokens.
+
+    Lines are counted in their row: each is trimmed and tested once, and no
+    line is shuffled.  A row of equal id is a document of its own; of a null
+    text every count is null.
+    """
+    tokens = lambda x: F.ceil((T.units(x) + 1) / 4).cast("long")
+    told = lambda x: F.struct(T.findings(x).alias("f"), T.is_blank(x).alias("blank"), tokens(x).alias("t"))
+    per = docs.select(id_col, F.transform(T.lines(F.col(text_col)), told).alias("l"))
+    count = lambda test: F.size(F.filter("l", test)).cast("long")
+    return per.select(
+        id_col, F.size("l").cast("long").alias("n_lines"), count(lambda v: v["blank"]).alias("n_blank"), count(lambda v: v["f"]["error"]).alias("n_error"),
+        count(lambda v: v["f"]["warning"]).alias("n_warning"), count(lambda v: v["f"]["noise"]).alias("n_noise"),
+        F.aggregate("l", F.lit(0).cast("long"), lambda a, v: a + v["t"]).alias("n_tokens"),
+    )
 
 
 def similar(a: str, b: str) -> bool:
@@ -52,30 +57,57 @@ def similar(a: str, b: str) -> bool:
     return sum(x == y for x, y in zip(a, b)) / long > 0.8
 
 
+def _hint(n: int, what: str) -> str:
+    return f"  ... ({n} {what})"
+
+
+def without_noise(ls: list, norms: list, noise: list) -> tuple[list, list]:
+    """Noise goes; runs of three or more leave a hint in their place.  (lines, normalised lines)"""
+    out, told, run = [], [], 0
+    for x, norm, bad in zip([*ls, None], [*norms, None], [*noise, False]):
+        if bad:
+            run += 1
+            continue
+        if run >= 3:
+            out.append(_hint(run, "progress/noise lines filtered"))
+            told.append(f"... ({'N' if run < 10**6 else 'H'} progress/noise lines filtered)")
+        run = 0
+        out.append(x)
+        told.append(norm)
+    return out[:-1], told[:-1]
+
+
+def without_repeats(ls: list, norms: list) -> list:
+    """Runs of three or more lines similar to the run's first; each is anchored there, so this is a scan in order."""
+    out, i = [], 0
+    while i < len(ls):
+        j = i + 1
+        while j < len(ls) and similar(norms[i], norms[j]):
+            j += 1
+        out += [ls[i], _hint(j - i - 2, "similar lines omitted"), ls[j - 1]] if j - i >= 3 else ls[i:j]
+        i = j
+    return out
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _collapsed(lines: pd.Series, norms: pd.Series) -> pd.Series:
-    """Runs of lines similar to the run's first; each is anchored there, so this is a scan in order."""
+    return pd.Series([None if a is None else without_repeats(list(a), list(b)) for a, b in zip(lines, norms)])
 
-    def one(ls, ns):
-        out, i = [], 0
-        while i < len(ls):
-            j = i + 1
-            while j < len(ls) and similar(ns[i], ns[j]):
-                j += 1
-            if j - i >= 3:
-                out += [ls[i], f"  ... ({j - i - 2} similar lines omitted)", ls[j - 1]]
-            else:
-                out += list(ls[i:j])
-            i = j
-        return out
 
-    return pd.Series([None if a is None else one(list(a), list(b)) for a, b in zip(lines, norms)])
+@F.pandas_udf(ArrayType(StringType()))
+def _quiet(lines: pd.Series, norms: pd.Series, noise: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else without_repeats(*without_noise(list(a), list(b), list(c))) for a, b, c in zip(lines, norms, noise)])
 
 
 def collapse_repeats(ls: Column) -> Column:
     return _collapsed(ls, F.transform(ls, T.normalize_line))
 
 
+def quiet(ls: Column) -> Column:
+    """Noise goes, then repeats: one pass over a document's lines, tested and normalised before by built-in functions."""
+    return _quiet(ls, F.transform(ls, T.normalize_line), F.transform(ls, T.is_noise))
+
+
 def first_of_equal(ls: DataFrame, id_col: str) -> DataFrame:
     """Lines of a document that are equal but for case and outer space: the first stays."""
     t = F.lower(T.trim(F.col("line")))

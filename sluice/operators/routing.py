@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 # Tools and their condensers.
 TOOLS = {"bash": "bash", "read": "read", "skill": "read", "grep": "grep", "glob": "ls", "webfetch": "web", "websearch_web_search_exa": "search"}
+SECOND = {"exec": "bash", "process": "bash", "read": "read", "browser": "web", "web_fetch": "web", "web_search": "search"}
 MIN_GAIN = 200
+# What a command has if it runs tests, and the runner; the first that fits.
+RUNNERS = (("pytest", "pytest"), ("jest", "jest"), ("vitest", "vitest"), ("go test", "go"), ("cargo test", "cargo"))
+
+
+def runner_hint(command: Column) -> Column:
+    """The test runner that a command names; null: none."""
+    return F.coalesce(*[F.when(F.contains(command, F.lit(part)), runner) for part, runner in RUNNERS])
 
 
 def for_command(command: Column) -> Column:
@@ -22,9 +30,9 @@ def for_command(command: Column) -> Column:
     )
 
 
-def for_tool(tool: Column) -> Column:
+def for_tool(tool: Column, tools: dict[str, str] = TOOLS) -> Column:
     """Null: the output passes as it is."""
-    m = F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv])
+    m = F.create_map(*[F.lit(x) for kv in tools.items() for x in kv])
     return F.try_element_at(m, F.lower(tool))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 NOISE = ("script", "style", "nav", "footer", "header", "aside", "noscript", "iframe")
 NOISE_CLASSES = ("ad", "sidebar", "cookie-banner")
 BLOCKS = ("p", "div", "section", "article", "main", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr")
+MARKS = {"b": "**", "strong": "**", "em": "_", "i": "_", "code": "`"}
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
@@ -22,6 +23,8 @@ class _Reader(HTMLParser):
         self.out, self.skip, self.markdown = [], 0, markdown
         self.chars = self.links = self.headings = 0
         self.open: list[tuple[str, bool]] = []
+        self.counts: list[int | None] = []  # of the items of each open list; None: not numbered
+        self.hrefs: list[tuple[int, str]] = []  # of open links, with their depth
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
@@ -37,12 +40,27 @@ class _Reader(HTMLParser):
         if re.fullmatch("h[1-6]", tag):
             self.headings += 1
             self.out.append("\n" + ("#" * int(tag[1]) + " ") * self.markdown)
-        elif tag == "li" and self.markdown:
-            self.out.append("\n- ")
-        elif tag in ("b", "strong") and self.markdown:
-            self.out.append("**")
-        elif tag == "pre" and self.markdown:
+        elif not self.markdown:
+            return
+        elif tag in ("ul", "ol"):
+            self.counts.append(0 if tag == "ol" else None)
+        elif tag == "li":
+            nth = self.counts[-1] if self.counts else None
+            if nth is not None:
+                nth = self.counts[-1] = nth + 1
+            self.out.append("\n- " if nth is None else f"\n{nth}. ")
+        elif tag in MARKS and not (tag == "code" and self._inside("pre")):
+            self.out.append(MARKS[tag])
+        elif tag == "a" and a.get("href"):
+            self.hrefs.append((len(self.open), a["href"]))
+            self.out.append("[")
+        elif tag == "pre":
             self.out.append("\n```\n")
+        elif tag in ("td", "th"):
+            self.out.append("| ")
+
+    def _inside(self, tag: str) -> bool:
+        return any(t == tag for t, _ in self.open)
 
     def handle_endtag(self, tag):
         if tag not in [t for t, _ in self.open]:
@@ -51,15 +69,27 @@ class _Reader(HTMLParser):
             t, noise = self.open.pop()
             was, self.skip = self.skip, self.skip - noise
             if not was:
+                if self.markdown:
+                    self._close(t)
                 if t in BLOCKS:
                     self.out.append("\n")
-                elif t in ("b", "strong") and self.markdown:
-                    self.out.append("**")
-                elif t == "pre" and self.markdown:
-                    self.out.append("\n```\n")
             if t == tag:
                 break
 
+    def _close(self, tag: str) -> None:
+        if tag in MARKS and not (tag == "code" and self._inside("pre")):
+            self.out.append(MARKS[tag])
+        elif tag == "pre":
+            self.out.append("\n```\n")
+        elif tag in ("ul", "ol") and self.counts:
+            self.counts.pop()
+        elif tag in ("td", "th"):
+            self.out.append(" ")
+        elif tag == "tr":
+            self.out.append("|")
+        elif tag == "a" and self.hrefs and self.hrefs[-1][0] == len(self.open) + 1:
+            self.out.append(f"]({self.hrefs.pop()[1]})")
+
     def handle_data(self, data):
         if not self.skip and not any(t in ("head", "title") for t, _ in self.open):
             self.out.append(data)
@@ -92,10 +122,6 @@ def density(page: Column) -> Column:
     return page["text_ratio"] * (1 - page["link_density"]) * F.log10(F.length(page["text"]) + 10) + F.least(F.lit(0.3), 0.03 * page["headings"])
 
 
-def code_blocks(markdown: Column) -> Column:
-    return F.regexp_extract_all(markdown, F.lit(r"(?s)```[^\n]*\n(.*?)```"), F.lit(1))
-
-
 def strip_tags(html: Column) -> Column:
     x = F.regexp_replace(html, r"<[^>]*>", "")
     for name, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import language, text, url
-from . import plans
+from . import plans, sources
 from .operators import diff, grep, htmltree, jsonprune, lines, listing, routing, search, source, testfailures, testreport, truncate, webtext
-from .plans import api, bash, read, web
+from .plans import api, bash, hooks, read, web
 from .streaming import dedupe  # noqa: F401
 
 QUERIES: dict = {}
@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def _t(spark, d, name):
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return sources.table(spark, f"{d}/{name}.parquet")
 
 
 # --- fixtures: the same expressions in Spark and in SQL -------------------------------------------
@@ -86,7 +86,7 @@ LINES = r"SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS
   count_if({MATCH(text.WARNINGS)}) AS n_warning, count_if({TRIM} <> '' AND {MATCH(text.NOISE)}) AS n_noise,
   CAST(sum(ceil((length(line) + 1) / 4.0)) AS BIGINT) AS n_tokens FROM ({LINES}) GROUP BY doc_id""")
 def line_counts(spark, d):
-    return lines.line_counts(lines.explode_lines(_t(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return lines.line_counts(_t(spark, d, "documents"), "doc_id", "text")
 
 
 @query(rf"""WITH l AS ({LOG}), f AS (SELECT *, {TRIM} <> '' AND {MATCH(text.NOISE)} AS noise FROM l),
@@ -116,9 +116,13 @@ def repeated_lines(spark, d):
     return log.select("doc_id", F.array_join(lines.collapse_repeats(F.col("l")), "\n").alias("output"))
 
 
-@query()
+STAINED = f"""SELECT doc_id, line_no, concat(chr(27), '[3', CAST(line_no % 8 AS VARCHAR(1)), 'm', line, chr(27), '[0m  ', CASE line_no % 3 WHEN 0 THEN ' 0xDEADBEEF1 ' WHEN 1 THEN ' abcdefabc ' ELSE '  17 of 250' END) AS line FROM ({LOG})"""
+
+
+@query(rf"""SELECT doc_id, line_no, trim(regexp_replace(concat(regexp_replace(line, '\d+', 'N', 'g'), '  ', CASE line_no % 3 WHEN 0 THEN 'NxH' WHEN 1 THEN 'abcdefabc' ELSE 'N of N' END), '\s+', ' ', 'g')) AS norm FROM ({LOG})""")
 def normalized_lines(spark, d):
-    return _log(spark, d).select("doc_id", "line_no", text.normalize_line(text.strip_ansi(F.col("line"))).alias("norm"))
+    """Log lines with escapes, hex runs and numbers, normalised."""
+    return _sql(spark, d, STAINED, "events").select("doc_id", "line_no", text.normalize_line(text.strip_ansi(F.col("line"))).alias("norm"))
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS n_tokens, concat('sha256:', sha256(text)) AS content_hash FROM documents")
@@ -143,9 +147,17 @@ def truncate_web(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.array_join(truncate.truncate(text.lines(F.col("text")), F.lit(6), "web"), "\n").alias("output"))
 
 
-@query()
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+t AS (SELECT doc_id, len(l) AS n, list_transform(l, lambda x: ceil((length(x) + 1) / 4.0)::INT) AS t FROM l),
+c AS (SELECT doc_id, n, t, unnest(range(1, n + 1))::INT AS b FROM t),
+h AS (SELECT *, CASE WHEN b = 1 THEN 0 ELSE greatest(1, floor((b - 1) * 0.6)) END::INT AS head FROM c),
+k AS (SELECT doc_id, n, b, CASE WHEN b >= n THEN list_sum(t) ELSE coalesce(list_sum(t[1:head]), 0) + coalesce(list_sum(t[n - (b - 1 - head) + 1:n]), 0)
+  + ceil((length(concat('... (', n - b + 1, ' lines omitted) ...')) + 1) / 4.0) END <= 200 AS fits, greatest(1, floor(sqrt(n)))::INT AS step FROM h),
+g AS (SELECT doc_id, n, step, coalesce(max(b) FILTER (fits AND (n - b) % step = 0), 1) AS first FROM k GROUP BY ALL)
+SELECT g.doc_id, g.n::INT AS n_lines, CASE WHEN bool_or(k.fits AND k.b = g.n) THEN g.n ELSE coalesce(max(k.b) FILTER (k.fits AND k.b > g.first AND k.b <= least(g.n, g.first + g.step - 1)), g.first) END::INT AS budget
+FROM g JOIN k USING (doc_id) GROUP BY g.doc_id, g.n, g.first, g.step""")
 def token_budget(spark, d):
-    ls = text.lines(F.substr(F.col("text"), F.lit(1), F.length("text")))
+    ls = text.lines(F.col("text"))
     return _t(spark, d, "documents").withColumn("l", ls).select("doc_id", F.size("l").alias("n_lines"), truncate.budget_for_tokens(F.col("l"), 200, "grep").alias("budget"))
 
 
@@ -208,7 +220,13 @@ def search_merge(spark, d):
     return out.select("query", "title", (F.get("sources", F.lit(0)) == "llm").alias("ours"), "rank")
 
 
-@query()
+@query(f"""WITH {AGG}, t AS (SELECT * FROM a WHERE rank <= 10),
+e AS (SELECT query, engine, engine_ord, min(position) AS p, key FROM k GROUP BY ALL),
+b AS (SELECT query, key, string_agg(engine, ', ' ORDER BY engine_ord, p) AS srcs FROM e GROUP BY ALL),
+n AS (SELECT query, count(DISTINCT engine) AS n FROM e JOIN t USING (query, key) GROUP BY query)
+SELECT query, concat('Search: "', query, '" — ', count(*), ' results from ', any_value(n.n), CASE WHEN any_value(n.n) = 1 THEN ' engine' ELSE ' engines' END, chr(10),
+  string_agg(concat(rank, '. **', title, '** (', regexp_replace(lower(regexp_extract(url, '://([^/]+)', 1)), '^www\\.', ''), ')', chr(10), '   ', snippet, chr(10), '   Sources: ', srcs), chr(10) ORDER BY rank)) AS output
+FROM t JOIN b USING (query, key) JOIN n USING (query) GROUP BY query""")
 def search_render(spark, d):
     return search.render(search.aggregate(_hits(spark, d)))
 
@@ -267,7 +285,14 @@ def diff_summaries(spark, d):
     return diff.render(_sql(spark, d, DIFF, "customer"), level="summary").select("doc_id", F.array_join("lines", "\n").alias("output"))
 
 
-@query()
+#: The compact lines of each file of DIFF: those that come first, and the others.
+CORE_SQL = """SELECT c_nationkey AS doc_id, c_custkey AS f, unnest(list_concat([concat(CASE WHEN c_custkey % 3 = 0 THEN 'A' ELSE 'M' END, ' f', c_custkey, '.txt (+', 1 + (c_custkey % 2 = 0)::INT, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' -1' END, ')'),
+  '@@ -1,2 +1,3 @@', '+one', '-two'], CASE WHEN c_custkey % 2 = 0 THEN ['+more'] ELSE [] END)) AS line, generate_subscripts(list_concat([1, 2, 3, 4], CASE WHEN c_custkey % 2 = 0 THEN [5] ELSE [] END), 1) AS pos FROM customer"""
+REST_SQL = "SELECT c_nationkey AS doc_id, c_custkey AS f, unnest(['@@ -9 +9 @@', '  ... context omitted ...']) AS line, unnest([8, 9]) AS pos FROM customer"
+GAP_SQL = "SELECT c_nationkey AS doc_id, c_custkey AS f, '' AS line, 10 AS pos FROM customer QUALIFY c_custkey < max(c_custkey) OVER (PARTITION BY c_nationkey)"
+
+
+@query(f"SELECT doc_id, string_agg(line, chr(10) ORDER BY f, pos) AS output FROM ({CORE_SQL} UNION ALL {REST_SQL} UNION ALL {GAP_SQL}) GROUP BY doc_id")
 def diff_render(spark, d):
     return diff.render(_sql(spark, d, DIFF, "customer")).select("doc_id", F.array_join("lines", "\n").alias("output"))
 
@@ -395,9 +420,14 @@ def savings_rollup(spark, d):
 # --- payloads, pages, whole condensers (no SQL form) --------------------------------------------------------
 
 
-@query()
+PAYLOAD = """SELECT event_id, concat('{"k": ', substr(props, 7, length(props) - 7), ', "t": "', event_type, '", "v": ', CAST(event_id % 1000 AS VARCHAR(9)), '.0, "_links": {"a": 1}, "e": null, "z": [], "l": [1, null, 2, 3, 4, 5, 6], "d": {"d": {"d": {"d": {"d": 1}}}}}') AS props FROM events"""
+PRUNED = """concat('{"k":', json_extract(e.props, '$.k')::INT, ',"t":"', event_type, '","v":', event_id % 1000, ',"l":[1,2,3,4,"... (2 more items)"],"d":{"d":{"d":{"d":"{...}"}}}}')"""
+
+
+@query(f"""SELECT event_id, {PRUNED} AS output, true AS valid, true AS nested, 1::INT AS fields_removed, 1::INT AS arrays_truncated, 1::INT AS depth_limited, 3::INT AS nulls_removed FROM events e""")
 def json_prune(spark, d):
-    return _t(spark, d, "events").select("event_id", jsonprune.prune_json(F.col("props")).alias("r")).select("event_id", "r.*")
+    """Payloads with metadata, nulls, a long array and a deep nest."""
+    return _sql(spark, d, PAYLOAD, "events").select("event_id", jsonprune.prune_json(F.col("props"), depth=4).alias("r")).select("event_id", "r.*")
 
 
 @query()
@@ -421,9 +451,51 @@ def condense_web(spark, d):
     return _t(spark, d, "pages").select("page_id", web(F.col("html"), 60).alias("r")).select("page_id", "r.*")
 
 
-@query()
+@query(f"""SELECT event_id, concat({PRUNED}, chr(10), '--- condensed: 1 lines → 1 lines (0% saved) ---') AS output, 1::INT AS original_size, 1::INT AS compressed_size, 1::DOUBLE AS ratio, 'api' AS format,
+  length({PRUNED}) >= 16 AS budget_exceeded, 1::INT AS fields_removed, 1::INT AS arrays_truncated, 1::INT AS depth_limited, 3::INT AS nulls_removed, NULL::VARCHAR AS error FROM events e""")
 def condense_api(spark, d):
-    return _t(spark, d, "events").select("event_id", api(F.col("props"), depth=3, items=3).alias("r")).select("event_id", "r.*")
+    """Payloads with limits: one line can't be cut, so a limit of tokens is exceeded."""
+    return _sql(spark, d, PAYLOAD, "events").select("event_id", api(F.col("props"), max_lines=20, max_tokens=29, depth=4).alias("r")).select("event_id", "r.*")
+
+
+@query(f"""WITH {AGG}, t AS (SELECT * FROM a WHERE rank <= 10),
+n AS (SELECT query, count(*) AS n FROM t GROUP BY query),
+b AS (SELECT query, string_agg(concat(rank, '. **', title, '** (', regexp_replace(lower(regexp_extract(url, '://([^/]+)', 1)), '^www\\.', ''), ')', chr(10), '   ', snippet, chr(10), '   Sources: x'), chr(10) ORDER BY rank) FILTER (rank <= 3) AS b FROM t GROUP BY query)
+SELECT query, concat('Search: "', query, '" — ', least(n, 3), ' results from 1 engine', chr(10), chr(10), b, chr(10), '--- condensed: 1 lines → ', 2 + 3 * least(n, 3), ' lines (0% saved) ---') AS output, (2 + 3 * least(n, 3))::INT AS compressed_size FROM n JOIN b USING (query)""")
+def condense_search(spark, d):
+    """The engines' results of each query as JSON, condensed to three results (a limit of the condenser)."""
+    one = F.struct("rank", "title", "url", "snippet", F.array(F.lit("x")).alias("sources"), "score")
+    per = search.aggregate(_hits(spark, d)).groupBy("query").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("body"))
+    r = per.select("query", plans.search(F.col("body"), F.col("query"), 3).alias("r"))
+    return r.select("query", "r.output", "r.compressed_size")
+
+
+EVENTS = """SELECT CAST(user_id AS VARCHAR(9)) AS session, CAST(event_id AS INT) AS seq,
+  CASE event_id % 9 WHEN 0 THEN 'condense_off' WHEN 1 THEN 'edit' WHEN 2 THEN 'bash' WHEN 3 THEN 'websearch_x' ELSE 'read' END AS tool,
+  map('calls', CAST(event_id % 3 + 1 AS VARCHAR(9)), 'command', 'git show', 'query', CASE WHEN event_id % 2 = 0 THEN 'q' ELSE '' END) AS args,
+  CASE event_id % 9 WHEN 2 THEN 'no diff' WHEN 3 THEN '{"results": [{"title": "T", "url": "https://t.org/", "text": "told"}, {"title": "no url"}]}'
+    ELSE repeat(concat('v', chr(10), chr(10), chr(10)), CAST(100 + event_id % 300 AS INT)) END AS output FROM events"""
+
+
+@query("""WITH e AS (SELECT user_id, event_id, event_id % 9 AS k, 100 + event_id % 300 AS n FROM events),
+s AS (SELECT *, sum((k = 0)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS span FROM e),
+x AS (SELECT *, count_if(k <> 0) OVER (PARTITION BY user_id, span ORDER BY event_id) AS nth, first_value(event_id % 3 + 1) OVER (PARTITION BY user_id, span ORDER BY event_id) AS calls FROM s),
+r AS (SELECT *, k <> 0 AND span > 0 AND nth <= calls AS raw, repeat(concat('v', chr(10), chr(10), chr(10)), n::INT) AS text, 4 * n AS before, 3 * n - 1 AS body FROM x),
+c AS (SELECT *, concat(repeat(concat('v', chr(10), chr(10)), (n - 1)::INT), 'v', chr(10), chr(10), '--- condensed: ', 3 * n + 1, ' lines → ', 2 * n, ' lines (', floor((1 - body / before) * 100 + 0.5)::INT, '% saved) ---') AS short FROM r),
+o AS (SELECT *, k >= 4 AND NOT raw AND before - length(short) >= 200 AS pays, k = 3 AND NOT raw AND event_id % 2 = 0 AS merged FROM c)
+SELECT user_id::VARCHAR AS session, event_id::INT AS seq, CASE k WHEN 0 THEN 'condense_off' WHEN 1 THEN 'edit' WHEN 2 THEN 'bash' WHEN 3 THEN 'websearch_x' ELSE 'read' END AS tool,
+  CASE WHEN raw THEN NULL WHEN k = 2 THEN 'diff' WHEN k >= 4 THEN 'read' END AS route,
+  CASE WHEN pays THEN concat(short, chr(10), '[condensed: ', floor((before - length(short)) / before * 100 + 0.5)::INT, '% smaller | condense_off() for raw]')
+    WHEN merged THEN concat_ws(chr(10), '# Search Results (2 total)', '', '## 1. T', 'URL: https://t.org/', 'Sources: exa, bing', '', 'told at more length', '', '## 2. (No title)', 'URL: https://u.org/', 'Sources: bing', '', '---', '[condensed search merge]',
+      '- exa results: 1', '- Engines: bing', '- Failed engines: sogou', '- Merge time: 7ms', '[condensed search merge | condense_off() for raw]')
+    WHEN k = 2 THEN 'no diff' WHEN k = 3 THEN '{"results": [{"title": "T", "url": "https://t.org/", "text": "told"}, {"title": "no url"}]}' ELSE text END AS output, pays OR merged AS changed FROM o""")
+def hook_outputs(spark, d):
+    """What agents read of all events: raw while switched off, condensed where it pays, search replies merged."""
+    found = spark.createDataFrame(
+        [("q", [("", "https://www.t.org", "told at more length", ["bing"], 1.0), ("", "https://u.org/", "", ["bing"], 0.5)], ["bing"], ["sogou"], 7)],
+        f"query string, results {search.RESULTS}, engines array<string>, failed array<string>, millis int",
+    )
+    return hooks.outputs(_sql(spark, d, EVENTS, "events"), found)
 
 
 @query()
@@ -447,9 +519,25 @@ def condense_grep(spark, d):
     return plans.grep(docs, "doc_id", "text", 60)
 
 
-@query()
+@query(f"""WITH c AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY f, pos) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM ({CORE_SQL} UNION ALL {GAP_SQL})),
+x AS (SELECT *, 29 AS m FROM c), k AS (SELECT doc_id, string_agg(CASE WHEN i = 22 THEN concat('... (', n - 28, ' lines omitted) ...') ELSE line END, chr(10) ORDER BY i) AS body FROM x WHERE i <= 22 OR i > n - 7 GROUP BY doc_id),
+s AS (SELECT c_nationkey AS doc_id, count(*) AS n_files, sum(1 + (c_custkey % 2 = 0)::INT)::BIGINT AS additions, count(*) AS deletions FROM customer GROUP BY c_nationkey),
+l AS (SELECT c_nationkey AS doc_id, sum(length(concat('diff --git a/f', c_custkey, '.txt b/f', c_custkey, '.txt')) + CASE WHEN c_custkey % 3 = 0 THEN 20 ELSE 10 END + 7 + 7 + 15 + 4 + 4 + 5 + 11 + 9) - 1 AS chars FROM customer GROUP BY c_nationkey)
+SELECT doc_id, concat(body, chr(10), '--- condensed: ', 9 * n_files, ' lines → 29 lines (', floor((1 - length(body) / chars) * 100 + 0.5)::INT, '% saved) ---') AS output, (9 * n_files)::INT AS original_size, 29::INT AS compressed_size,
+  29::DOUBLE / (9 * n_files) AS ratio, 'diff' AS format, false AS budget_exceeded, n_files, additions, deletions, false AS told FROM k JOIN s USING (doc_id) JOIN l USING (doc_id)""")
 def condense_diff(spark, d):
-    return plans.diff(_whole(_sql(spark, d, DIFF, "customer")), "doc_id", "text", 60)
+    """Every nation's diff cut to 30 lines: 21 at the head, 7 at the tail, a marker, the footer."""
+    return plans.diff(_whole(_sql(spark, d, DIFF, "customer")), "doc_id", "text", 30)
+
+
+@query("""SELECT c_nationkey AS doc_id, concat('9 files changed, +7 -0', chr(10), min(CASE WHEN r = 1 THEN concat(CASE WHEN c_custkey % 3 = 0 THEN 'A' ELSE 'M' END, ' f', c_custkey, '.txt (+', 1 + (c_custkey % 2 = 0)::INT, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' -1' END, ')') END),
+  chr(10), '... (', count(*) - 1, ' lines omitted) ...') AS body, 9::BIGINT AS n_files, 7::BIGINT AS additions, 0::BIGINT AS deletions, true AS told
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) GROUP BY c_nationkey""")
+def condense_diff_told(spark, d):
+    """A summary whose totals the text itself tells, cut to three lines and the footer (left out here)."""
+    docs = _whole(_sql(spark, d, DIFF, "customer")).withColumn("text", F.concat("text", F.lit("\n 9 files changed, 7 insertions(+)")))
+    out = plans.diff(docs, "doc_id", "text", 4, level="summary")
+    return out.select("doc_id", F.regexp_replace("output", r"\n--- [^\n]*$", "").alias("body"), "n_files", "additions", "deletions", "told")
 
 
 @query()

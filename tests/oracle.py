@@ -31,4 +31,4 @@ def same(df, sql, sf):
     want = sorted((tuple(norm(r[i]) for i in at) for r in rel.fetchall()), key=repr)
     assert len(got) == len(want)
     for a, b in zip(got, want):
-        assert a == b
+        assert a == b, f"{a}\n{b}"
