@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import language, text, url
 from . import plans, sources
-from .operators import diff, grep, htmltree, jsonprune, lines, listing, routing, search, source, testfailures, testreport, truncate, webtext
+from .operators import diff, grep, htmltree, jsonprune, lines, listing, routing, savings, search, source, syntax, testfailures, testreport, truncate, webtext
 from .plans import api, bash, hooks, read, web
 from .streaming import dedupe  # noqa: F401
 
@@ -132,7 +132,7 @@ def tokens_and_hash(spark, d):
 
 @query("SELECT sha256(text) AS h, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents GROUP BY sha256(text)")
 def content_dedupe(spark, d):
-    return _t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
+    return savings.first_of_copies(_t(spark, d, "documents"), "doc_id", "text")
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), n AS (SELECT *, len(l) AS n FROM l)
@@ -354,6 +354,12 @@ def source_signatures(spark, d):
     return source.signatures(_sql(spark, d, SOURCE, "customer"), "doc_id", "name", "text")
 
 
+@query("""SELECT c_nationkey AS doc_id, (sum(5 + c_custkey % 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 5 - c_custkey % 2)::INT AS line_no, 0::INT AS depth, 'function' AS kind,
+  concat('f', c_custkey) AS name, concat('def f', c_custkey, '():') AS signature FROM customer""")
+def syntax_signatures(spark, d):
+    return syntax.signatures(_sql(spark, d, SOURCE, "customer"), "doc_id", "text")
+
+
 @query("SELECT c_nationkey AS doc_id, count(*) AS n_imports, count(*) AS n_comments FROM customer GROUP BY c_nationkey")
 def source_flags(spark, d):
     ls = lines.explode_lines(_sql(spark, d, SOURCE, "customer"), "doc_id", "text")
@@ -412,9 +418,16 @@ def rate_windows(spark, d):
     return over_limit(_t(spark, d, "events").select("ts", "event_type"), "ts", "event_type", 2, "1 hour")
 
 
-@query("""SELECT source, lang, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY ROLLUP (source, lang)""")
+BLANKS_SQL = r"""SELECT source, lang, length(text) AS b, length(list_reduce(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda p: regexp_matches(p[1], '\S') OR p[2] = 1 OR regexp_matches(l[p[2] - 1], '\S')),
+  lambda p: CASE WHEN regexp_matches(p[1], '\S') THEN p[1] ELSE '' END), lambda a, b: concat(a, chr(10), b))) AS a FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents)"""
+
+
+@query(f"""SELECT source, lang, count(*) AS n_docs, sum(b)::BIGINT AS chars_before, sum(a)::BIGINT AS chars_after,
+  CASE WHEN sum(b) = 0 THEN 0 ELSE greatest(0, floor((1 - sum(a) / sum(b)) * 100 + 0.5)) END::INT AS saved_percent FROM ({BLANKS_SQL}) GROUP BY ROLLUP (source, lang)""")
 def savings_rollup(spark, d):
-    return _t(spark, d, "documents").rollup("source", "lang").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+    """What collapsing blank lines saves by source and language."""
+    after = F.array_join(text.collapse_blanks(text.lines(F.col("text"))), "\n")
+    return savings.rollup(_t(spark, d, "documents"), F.col("text"), after, "source", "lang")
 
 
 # --- payloads, pages, whole condensers (no SQL form) --------------------------------------------------------
