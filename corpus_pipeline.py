@@ -18,7 +18,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the production policy rejects go."""
+    """Documents that the corpus policy rejects go; short ones, which are clean as a rule, stay."""
     return quality_rules.kept_documents(docs)
 
 
