@@ -21,8 +21,11 @@ def over_limit(events: DataFrame, ts: str, key: str, limit: int, window: str = "
 
 
 def _countdown(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    left = state.get[0] if state.exists else 0  # calls that stay raw; -1: all until on
+    """One session's events of a micro-batch, in the order of seq; what isn't later than the last one seen is ignored."""
+    left, last = state.get if state.exists else (0, None)  # calls that stay raw (-1: all until on), and the last seq
     x = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    if last is not None:
+        x = x[x["seq"] > last]
     raw = []
     for kind, n in zip(x["kind"], x["n"]):
         if kind == "on":
@@ -32,14 +35,15 @@ def _countdown(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Itera
         raw.append(kind == "call" and left != 0)
         if kind == "call" and left > 0:
             left -= 1
-    state.update((left,))
-    yield pd.DataFrame({"session": key[0], "seq": x["seq"].to_numpy(), "raw": raw})
+    if len(x):
+        state.update((left, int(x["seq"].iloc[-1])))
+    yield pd.DataFrame({"session": key[0], "seq": x["seq"].to_numpy(), "raw": pd.Series(raw, dtype=bool)})
 
 
 def countdown(events: DataFrame) -> DataFrame:
-    """Streamed events (session, seq, kind, n) -> (session, seq, raw)."""
+    """Streamed events (session, seq, kind, n) -> (session, seq, raw); events that come after later ones of their session are ignored."""
     return events.groupBy("session").applyInPandasWithState(
-        _countdown, "session string, seq long, raw boolean", "left int", "append", GroupStateTimeout.NoTimeout
+        _countdown, "session string, seq long, raw boolean", "left int, last long", "append", GroupStateTimeout.NoTimeout
     )
 
 

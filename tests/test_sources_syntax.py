@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from sluice import sources
-from sluice.operators import savings, syntax
+from sluice import sources, sql
+from sluice.functions import text as T
+from sluice.operators import grep, lines, savings, syntax
 
 PY = """import os
 
@@ -67,3 +68,19 @@ def test_savings(spark):
     df = spark.createDataFrame([("a", "x  ", "x"), ("a", "", ""), ("b", None, None)], "k string, b string, a string")
     got = {r.k: (r.n_docs, r.chars_before, r.chars_after, r.saved_percent) for r in savings.rollup(df, F.col("b"), F.col("a"), "k").collect()}
     assert got["a"] == (2, 3, 1, 67) and got[None] == (3, 3, 1, 67) and got["b"][:3] == (1, None, None)
+
+
+def test_sql_functions(spark):
+    """The functions of SQL are those of Columns."""
+    assert set(sql.register(spark)) == {"estimate_tokens", "content_hash", "text_lines", "grep_hits"}
+    texts = ["a/b.py:3:7:x\r\nc-4-y\nno hit\nz:0:none\nq.ts:12:", "", "é😀\nk:1-t", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    df.createOrReplaceTempView("texts")
+    ls = lines.explode_lines(df, "id", "t")
+    assert sorted(spark.sql("SELECT id, l.* FROM texts, LATERAL text_lines(t) l").collect()) == sorted(ls.select("id", "line_no", "line").collect())
+    want = ls.select("id", "line_no", grep.parse_hit(F.col("line")).alias("h")).filter("h is not null").select("id", "line_no", "h.*")
+    got = spark.sql("SELECT id, h.* FROM texts, LATERAL grep_hits(t) h")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and want.count() == 4
+    both = spark.sql("SELECT id, estimate_tokens(t) n, content_hash(t) h FROM texts").collect()
+    own = df.select("id", T.estimate_tokens(F.col("t")).alias("n"), T.content_hash(F.col("t")).alias("h")).collect()
+    assert sorted(map(tuple, both)) == sorted(map(tuple, own))
