@@ -79,7 +79,8 @@ def _sum(col: str, window, start: int, end: int) -> Column:
 
 
 def _fill(nodes: DataFrame, parent: list[str], key: str, parents: int) -> DataFrame:
-    """nodes (parent.., key, w, cap, budget of the parent) -> their own budget, ``got``.  parents: at most so many."""
+    """nodes (parent.., key, w, cap, budget of the parent) -> their own budget, ``got``.  parents: at most so many; no
+    parent columns: the nodes are the root's children."""
     first, last = Window.unboundedPreceding, Window.unboundedFollowing
     ratio = F.col("cap") / F.col("w")
     nodes = nodes.withColumn("bin", F.floor(F.log2(ratio) * BINS).cast("int"))
@@ -91,7 +92,12 @@ def _fill(nodes: DataFrame, parent: list[str], key: str, parents: int) -> DataFr
     level = (F.col("budget") - F.col("before") - _sum("cap", inside, first, -1)) / (_sum("w", inside, 0, last) + F.col("after"))
     levels = nodes.join(bins, [*parent, "bin"]).withColumn("l", level).groupBy(*parent).agg(F.max("l").alias("level"))
     got = F.greatest(F.lit(0.0), F.least("cap", F.col("w") * F.col("level")))
-    return _with(nodes.drop("bin"), levels, parent, parents).withColumn("got", got).drop("level")
+    nodes = nodes.drop("bin")
+    if parent:
+        nodes = _with(nodes, levels, parent, parents)
+    else:  # the root's children: one number
+        nodes = nodes.withColumn("level", F.lit(levels.first()["level"]).cast("double"))
+    return nodes.withColumn("got", got).drop("level")
 
 
 def _with(rows: DataFrame, nodes: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -113,7 +119,7 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     n, budget = told["n"], float(math.floor((told["a"] or 0) * mix.share))
     langs = weighed.groupBy("domain", "lang").agg(F.sum("cap3").alias("cap"), F.first("w2").alias("w"), F.first("w1").alias("w1"))
     domains = langs.groupBy("domain").agg(F.sum("cap").alias("cap"), F.first("w1").alias("w"))
-    top = _fill(domains.withColumns({"root": F.lit(0), "budget": F.lit(budget)}), ["root"], "domain", 1)
+    top = _fill(domains.withColumn("budget", F.lit(budget)), [], "domain", 1)
     mid = _fill(_with(langs.drop("w1"), top.select("domain", F.col("got").alias("budget")), ["domain"], n), ["domain"], "lang", n)
     low = weighed.select("domain", "lang", "source", "a", F.col("w3").alias("w"), F.col("cap3").alias("cap"))
     low = _with(low, written(low.sparkSession, mid.select("domain", "lang", F.col("got").alias("budget")), "budgets"), ["domain", "lang"], n)
