@@ -311,12 +311,27 @@ def test_failures(spark, d):
     return r.select("doc_id", *[f"r.{c}" for c in told], F.explode("r.failures").alias("f")).select("doc_id", *told, "f.test_name", "f.error")
 
 
-@query()
+@query("""WITH b AS (SELECT s_nationkey AS doc_id, count(*) AS n, concat('✗ ', count(*), '/', count(*) + 4, ' tests failed (4 passed, 0.5s)', chr(10), chr(10),
+    string_agg(concat('FAIL t.py::t', lpad(s_suppkey::VARCHAR, 9, '0'), chr(10), '  boom ', s_suppkey % 3), concat(chr(10), chr(10)) ORDER BY s_suppkey)) AS body,
+  sum(length(concat('FAILED t.py::t', lpad(s_suppkey::VARCHAR, 9, '0'), ' - boom ', s_suppkey % 3)) + 1) + 32 + length(concat('=== ', count(*), ' failed, 4 passed in 0.5s ===')) AS chars FROM supplier GROUP BY s_nationkey)
+SELECT doc_id, concat(body, chr(10), '--- condensed: ', n + 2, ' lines → ', 1 + 3 * n, ' lines (', greatest(0, floor((1 - length(body) / chars) * 100 + 0.5))::INT, '% saved) ---') AS output, (n + 2)::INT AS original_size, (1 + 3 * n)::INT AS compressed_size,
+  (1 + 3 * n) / (n + 2)::DOUBLE AS ratio, 'test' AS format, false AS budget_exceeded FROM b""")
 def condense_report(spark, d):
-    return _sql(spark, d, FAILED, "supplier").select("doc_id", plans.report(F.col("text"), 40).alias("r")).select("doc_id", "r.*")
+    return _sql(spark, d, FAILED, "supplier").select("doc_id", plans.report(F.col("text"), 400).alias("r")).select("doc_id", "r.*")
 
 
-@query()
+#: The names of each listing, with their folder and kind.
+FILES_SQL = f"""SELECT DISTINCT p_partkey % 10 AS doc_id, split_part(name, '/', 1) AS dir, split_part(name, '/', 2) AS file,
+  CASE WHEN name LIKE '%.PY' THEN '.py' WHEN name LIKE '%.ts' THEN '.ts' WHEN name LIKE '%.rs' THEN '.rs' ELSE '[no-ext]' END AS ext FROM ({NAMES})"""
+COUNTED_SQL = "SELECT doc_id, concat('project/ (', count(*), ' files, ', count(DISTINCT dir), ' dirs)') AS head FROM f GROUP BY doc_id"
+
+
+@query(f"""WITH f AS ({FILES_SQL}), h AS ({COUNTED_SQL}),
+r AS (SELECT *, dir = max(dir) OVER (PARTITION BY doc_id) AS last, row_number() OVER (PARTITION BY doc_id, dir ORDER BY lower(file)) = count(*) OVER (PARTITION BY doc_id, dir) AS final FROM f),
+l AS (SELECT doc_id, dir, 1 AS pos, lower(file) AS o, concat(CASE WHEN last THEN '    ' ELSE '│   ' END, CASE WHEN final THEN '└── ' ELSE '├── ' END, file) AS line FROM r
+  UNION ALL SELECT DISTINCT doc_id, dir, 0, '', concat(CASE WHEN last THEN '└── ' ELSE '├── ' END, dir, '/') FROM r),
+t AS (SELECT doc_id, string_agg(concat(ext, '(', n, ')'), ', ' ORDER BY n DESC, ext <> '[no-ext]', ext) AS types FROM (SELECT doc_id, ext, count(*) AS n FROM f GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, concat(head, chr(10), (SELECT string_agg(line, chr(10) ORDER BY dir, pos, o) FROM l WHERE l.doc_id = h.doc_id), chr(10), chr(10), 'Types: ', types) AS output FROM h JOIN t USING (doc_id)""")
 def listing_draw(spark, d):
     ls = _sql(spark, d, f"SELECT p_partkey % 10 AS doc_id, p_partkey AS line_no, name AS line FROM ({NAMES})", "part")
     return listing.render(listing.entries(ls), roots=listing.root_names(ls)).select("doc_id", F.array_join("lines", "\n").alias("output"))
@@ -553,7 +568,12 @@ def condense_diff_told(spark, d):
     return out.select("doc_id", F.regexp_replace("output", r"\n--- [^\n]*$", "").alias("body"), "n_files", "additions", "deletions", "told")
 
 
-@query()
+@query(f"""WITH f AS ({FILES_SQL}), h AS ({COUNTED_SQL}),
+g AS (SELECT doc_id, CASE ext WHEN '.py' THEN 'Python' WHEN '.ts' THEN 'TypeScript' WHEN '.rs' THEN 'Rust' ELSE 'No Extension' END AS kind, count(*) AS n, string_agg(concat(dir, '/', file), ', ' ORDER BY dir, lower(file)) AS files FROM f GROUP BY ALL),
+b AS (SELECT doc_id, concat(any_value(head), chr(10), chr(10), string_agg(concat(kind, ' (', n, CASE WHEN n = 1 THEN ' file' ELSE ' files' END, '):', chr(10), '  ', files), concat(chr(10), chr(10)) ORDER BY n DESC, kind)) AS body, 1 + 3 * count(*) AS m FROM g JOIN h USING (doc_id) GROUP BY doc_id),
+s AS (SELECT p_partkey % 10 AS doc_id, count(*) AS n, sum(length(name)) + count(*) - 1 AS chars FROM ({NAMES}) GROUP BY ALL)
+SELECT doc_id, concat(body, chr(10), '--- condensed: ', n, ' lines → ', m, ' lines (', floor((1 - length(body) / chars) * 100 + 0.5)::INT, '% saved) ---') AS output, n::INT AS original_size, m::INT AS compressed_size, m / n::DOUBLE AS ratio, 'ls' AS format, false AS budget_exceeded
+FROM b JOIN s USING (doc_id)""")
 def condense_ls(spark, d):
     names = _sql(spark, d, NAMES, "part").select((F.col("p_partkey") % 10).alias("doc_id"), F.col("p_partkey").alias("line_no"), F.col("name").alias("line"))
     return plans.ls(_whole(names), "doc_id", "text", by_type=True)
