@@ -49,18 +49,23 @@ def _remove(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
     The files are whole and replicated by the shared store, so a lost executor
     costs nothing that was written.  The driver's folder is removed when it ends.
+
+    small: few rows come from many tasks, and are dealt into as few files as
+    their size asks for.  In a file:// folder each file makes an executor start
+    two processes (chmod, for it and its checksums), which count with the JVM's
+    whole memory until they have begun.
     """
     folder = f"{shared_dir(spark)}/sluice-{os.getpid()}-{spark.sparkContext.applicationId}"
     if folder not in _FOLDERS:
         _FOLDERS.add(folder)
         atexit.register(_remove, spark, folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

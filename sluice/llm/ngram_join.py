@@ -262,27 +262,51 @@ def _open(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
 
 
+def _least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices of the edges a to b, for each the smallest vertex it is connected with)."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(names))
+    while (up[x] != up[y]).any():
+        low = np.minimum(up[x], up[y])
+        np.minimum.at(up, up[x], low)
+        np.minimum.at(up, up[y], low)
+        while (up[up] != up).any():
+            up = up[up]
+    return names, names[up]
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(v, label): for each vertex of edges (a, b) the smallest vertex it is connected with.
 
     Each round hooks every vertex to its smallest neighbour, halves the paths
-    twice, and contracts the edges; it ends when no edge between two labels is
-    left.
+    twice, and contracts the edges.  Up to BROADCAST_IDS edges, all or what
+    the rounds have left, are joined by the driver.
     """
     labels = None
     left = edges.select("a", "b")
     while True:
-        e = written(spark, left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct(), "edges")
-        if e.isEmpty():
-            return labels if labels is not None else e.select(F.col("a").alias("v"), F.col("b").alias("label"))
-        p = written(spark, e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "hooks")
-        for _ in range(2):
-            p = written(spark, p.alias("x").join(p.alias("y"), F.col("x.up") == F.col("y.a")).select("x.a", F.col("y.up").alias("up")), "hooks")
+        e = written(spark, left.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", small=True)
+        n = e.count()
+        if not n and labels is not None:
+            return labels
+        last = n <= BROADCAST_IDS
+        if last:
+            found = e.toArrow()
+            v, least = _least_reachable(found["a"].to_numpy(), found["b"].to_numpy())
+            p = spark.createDataFrame(pa.table({"a": pa.array(v, pa.int64()), "up": pa.array(least, pa.int64())}))
+        else:
+            e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            p = written(spark, e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), "hooks")
+            for _ in range(2):
+                p = written(spark, p.alias("x").join(p.alias("y"), F.col("x.up") == F.col("y.a")).select("x.a", F.col("y.up").alias("up")), "hooks")
         labels = (
             p.select(F.col("a").alias("v"), F.col("up").alias("label"))
             if labels is None
             else written(spark, labels.join(p, labels["label"] == p["a"], "left").select("v", F.coalesce("up", "label").alias("label")), "labels")
         )
+        if last:
+            return labels
         left = (
             e.join(p.withColumnRenamed("up", "pa"), "a")
             .join(p.select(F.col("a").alias("b"), F.col("up").alias("pb")), "b")
@@ -297,19 +321,19 @@ def _verified(spark: SparkSession, pairs: DataFrame, info: DataFrame, docs: Data
     sketch = info.select("rep", "n", "wide", *SKETCHES)
     some = pairs.join(side(sketch, "a"), F.col("a") == F.col("a_rep")).join(side(sketch, "b"), F.col("b") == F.col("b_rep"))
     some = some.filter(_open("a_", "b_", percent)).select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
-    some = written(spark, some.mapInArrow(partial(_near, percent=percent), "a long, b long"), "pairs")
+    some = written(spark, some.mapInArrow(partial(_near, percent=percent), "a long, b long"), "pairs", small=True)
     if some.isEmpty():
         return some
     ends = some.select(F.col("a").alias("rep")).unionByName(some.select(F.col("b").alias("rep"))).distinct()
-    ends = written(spark, ends.join(info.select("rep", "id"), "rep"), "wanted")
+    ends = written(spark, ends.join(info.select("rep", "id"), "rep"), "wanted", small=True)
     ids, wanted = ends.select("id").distinct(), ends.count()
     if wanted <= BROADCAST_IDS:
         whole = docs.join(F.broadcast(ids), "id", "left_semi")
     else:
         whole = passing(spark, docs, ids, "id")
-    sets = written(spark, whole.mapInArrow(partial(_whole_sets, k=k), "rep long, n long, items array<long>"), "sets")
+    sets = written(spark, whole.mapInArrow(partial(_whole_sets, k=k), "rep long, n long, items array<long>"), "sets", small=True)
     if sets.count() != wanted:  # several rows of one id
-        sets = written(spark, sets.join(ends.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets")
+        sets = written(spark, sets.join(ends.select("rep"), "rep", "left_semi").dropDuplicates(["rep"]), "sets", small=True)
     full = some.join(side(sets, "a"), F.col("a") == F.col("a_rep")).join(side(sets, "b"), F.col("b") == F.col("b_rep"))
     full = full.withColumn("i", F.size(F.array_intersect("a_items", "b_items")))
     return full.filter(100 * F.col("i") >= percent * (F.col("a_n") + F.col("b_n") - F.col("i"))).select("a", "b")
@@ -338,7 +362,7 @@ def _link(spark: SparkSession, members: DataFrame, info: DataFrame, docs: DataFr
         chosen = [F.min(F.struct(F.xxhash64("rep", F.lit(j)).alias("h"), "rep", "n", "rest", "label")).alias(f"p{j}") for j in range(done, upto)]
         pivots = m.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *chosen).filter("lo != hi")
         one = [F.struct(*[F.col(f"p{j}.{c}").alias(f"p{c}") for c in ("rep", "n", "rest", "label")]) for j in range(done, upto)]
-        pivots = written(spark, pivots.select("key", F.inline(F.array_distinct(F.array(*one)))), "pivots")
+        pivots = written(spark, pivots.select("key", F.inline(F.array_distinct(F.array(*one)))), "pivots", small=True)
         labels = merged(m.join(pivots, "key").filter((F.col("label") != F.col("plabel")) & near).select(*ordered).distinct())
         done = upto
     # What is left: pairs of different components, one of them not the key's largest.
@@ -388,7 +412,7 @@ def _classes(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, k
     classes = written(spark, classes, "classes")
     posted = written(spark, d.mapInArrow(partial(_postings, k=k, percent=percent, limit=limit, tables=sent), "key long, sid long, rest int"), "postings")
     shared = posted.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo != hi").select("key")
-    places_of = passing(spark, posted, written(spark, shared, "keys"), "key")
+    places_of = passing(spark, posted, written(spark, shared, "keys", small=True), "key")
     places_of = written(spark, places_of.distinct(), "places")
     wide = rows.select("id", "sid", "sid2", "wide")
     info = places_of.select("sid").distinct().join(classes, "sid").join(wide, ["id", "sid", "sid2"])

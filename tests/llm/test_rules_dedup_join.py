@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 
 from sluice.llm import bitmap, exact_dedup, ngram_join, quality_rules
+from sluice.llm.common import shared_dir
 from sluice.llm.queries import op5_ngram_jaccard_join, op8_quality_rules, op10_exact_dedup
 
 from .util import COLS, awkward, by_id, empty, rows
@@ -257,3 +259,40 @@ def test_join_texts_of_one_id(spark):
     assert got == {(1, None, 76), (7, None, 77), (7, 7, 76), (None, None, 76), (None, None, 77), (9, None, 77), (None, None, 0), (8, 8, 1)}
     left = sorted(((r["doc_id"], r["text"]) for r in rows(ngram_join.drop_near_copies(spark, df))), key=str)
     assert left == sorted([(7, b), (None, c), (None, a + " more"), (None, ""), (8, "z")], key=str)
+
+
+def test_join_writes_few_files(spark):
+    """What is small is written as one file however many tasks it comes from, and few edges need no tables for rounds."""
+    texts = near_copies(8, 60, 40, 4, 100) + near_copies(9, 90, 30, 5, 300)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    top = shared_dir(spark).removeprefix("file:")
+
+    def tables():
+        return {f"{top}/{d}/{x}" for d in os.listdir(top) if d.startswith("sluice-") for x in os.listdir(f"{top}/{d}")}
+
+    before = tables()
+    check_classes(rows(ngram_join.ngram_classes(spark, df, k=3, percent=70)), texts, 3, 70)
+    made = {}
+    for x in tables() - before:
+        made.setdefault(os.path.basename(x).rsplit("-", 1)[0], []).append(sum(f.startswith("part-") for f in os.listdir(x)))
+    assert "hooks" not in made
+    assert all(max(made[x]) == 1 for x in ("keys", "pivots", "pairs", "wanted", "sets", "edges")), made
+
+
+@pytest.mark.parametrize("most", [500_000, 20, 0])
+def test_components(spark, monkeypatch, most):
+    """By the driver, by rounds of joins, and by rounds whose rest the driver joins."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", most)
+    rnd = random.Random(11)
+    ids = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(120)]
+    edges = [(ids[i], ids[i + 1]) for i in range(39)] + [(ids[40], x) for x in ids[41:70]] + [(rnd.choice(ids[70:]), rnd.choice(ids[70:])) for _ in range(30)]
+    edges += [(b, a) for a, b in edges[::3]] + [(ids[0], ids[0])]
+    rnd.shuffle(edges)
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = ngram_join.components(spark, spark.createDataFrame(edges, "a long, b long"))
+    assert sorted((r["v"], r["label"]) for r in rows(got)) == sorted(least.items())
+    assert rows(ngram_join.components(spark, spark.createDataFrame([(1, 1)], "a long, b long"))) == []
